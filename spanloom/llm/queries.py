@@ -19,15 +19,75 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import bitsliced
+
+    rows = bitsliced.quantised(_table(spark, sf_dir, "embeddings"))
+    return bitsliced.search(rows, rows.where(F.col("vec_id") % 100 == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP3_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import knn_tree
+
+    rows = knn_tree.usable(_table(spark, sf_dir, "embeddings"))
+    return knn_tree.search(rows, rows.where(F.col("vec_id") % 50 == 0)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shared, warc
+
+    folder = shared.folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder)
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id > f.first THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_quality_ranking)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_bitsliced_topk": OP3_SQL, "op8_warc_segments": OP8_SQL}
