@@ -43,6 +43,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.link(_table(spark, sf_dir, "documents"))
+
+
 def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,7 +92,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
