@@ -6,10 +6,12 @@ words, word windows and byte ranges come from whole-array arithmetic.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -71,14 +73,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=2)
+def _powers_upto(log: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(_BASE, 1 << log), powers(_BASE_INV, 1 << log)
+
+
 class PrefixHash:
     """Polynomial prefix hashes modulo 2**64 of a byte array; any range's hash in constant time."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.inv = powers(_BASE_INV, n)
+        up, self.inv = _powers_upto(max(12, n.bit_length()))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * powers(_BASE, n)[:n], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[data] * up[:n], out=self.sums[1:], dtype=np.uint64)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Equal byte ranges of any two arrays have equal values."""
@@ -188,9 +195,23 @@ def shard_count(df: DataFrame, shard_bytes: int = 6 << 20, least: int = 64) -> i
     return max(least, -(-estimated_bytes(df) // shard_bytes))
 
 
+def xxhash64(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of whole numbers (the algorithm's fixed primes, and Spark's seed, 42)."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    h = turn((U64(50) + p5) ^ (turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return (h ^ (h >> U64(32))).view(np.int64)
+
+
 def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each document, the same on every machine."""
-    return (mix(ids.astype(np.int64).view(np.uint64)) % U64(shards)).astype(np.int32)
+    """The shard of each document; shard_column() gives the same."""
+    return np.mod(xxhash64(ids), shards).astype(np.int64)
+
+
+def shard_column(name: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(shards).cast("long"))
 
 
 def with_columns(df: DataFrame, *names: str) -> DataFrame:

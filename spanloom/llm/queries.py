@@ -80,6 +80,12 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder)
 
 
+def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fm_index
+
+    return fm_index.dedup(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -92,7 +98,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
