@@ -86,6 +86,12 @@ def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -98,7 +104,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

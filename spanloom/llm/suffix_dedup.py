@@ -10,7 +10,8 @@ chosen by its own content.
    tile, which spans all strings that start before the next sampled position. Of
    equal ones in a block one goes on; the hash brings those of all blocks together.
 2. Where a core repeats but a tile doesn't, single strings are hashed and brought
-   together the same way. That is only near the ends of repeated passages.
+   together the same way; so are those of a repeated tile's first place, where more
+   places share a core than the tile. That is only near the ends of passages.
 3. So each shard of documents learns which other passages repeat its own, and has
    them sent.
 4. In its shard, a document's suffixes at sampled positions, and those of the
@@ -244,11 +245,13 @@ class Found:
     def __init__(self, shards: int):
         self.shards, self.repeats, self.asks = shards, [], []
 
-    def add(self, kind: int, doc: np.ndarray, place: np.ndarray, size: np.ndarray, partner: np.ndarray) -> None:
-        """Rows that repeat, and the index of a row that each repeats."""
+    def tell(self, kind: int, doc, place, size, count, first) -> None:
+        """Rows that repeat: in how many places (0 if not known), and whether this is the first."""
+        self.repeats.append((doc, place.astype(np.int64), size.astype(np.int64) * (kind == TILE), count.astype(np.int64), first))
+
+    def ask(self, kind: int, doc: np.ndarray, place: np.ndarray, size: np.ndarray, partner: np.ndarray) -> None:
+        """Rows, and the index of a row that each repeats."""
         doc, place, size = doc.astype(np.int64), place.astype(np.int64), size.astype(np.int64)
-        if kind != ONE:
-            self.repeats.append((doc, place, size * (kind == TILE)))
         if kind != CORE:
             target = K.shard_of(doc, self.shards)
             away = K.shard_of(doc[partner], self.shards) != target
@@ -258,9 +261,9 @@ class Found:
         """As blobs by the shard that they go to, modulo `parts`."""
         out = []
         if self.repeats:
-            d, p, s = (np.concatenate(c) for c in zip(*self.repeats, strict=True))
+            d, p, s, c, f = (np.concatenate(x) for x in zip(*self.repeats, strict=True))
             for part, own in _split_by(K.shard_of(d, self.shards) % parts, parts):
-                out.append((part, REPEATS, K.squeeze(d[own], p[own].astype(np.uint32), s[own].astype(np.uint8))))
+                out.append((part, REPEATS, K.squeeze(d[own], p[own].astype(np.uint32), s[own].astype(np.uint8), c[own].astype(np.uint32), f[own].astype(np.uint8))))
         if self.asks:
             d, p, n, t = (np.concatenate(c) for c in zip(*self.asks, strict=True))
             order = np.lexsort((p, d, t))
@@ -275,38 +278,39 @@ class Found:
     def take(self, kind: int, blob: bytes) -> None:
         """Blobs of an earlier step, to be passed on."""
         if kind == REPEATS:
-            d, p, s = K.unsqueeze(blob, np.int64, np.uint32, np.uint8)
-            self.repeats.append((d, p.astype(np.int64), s.astype(np.int64)))
+            d, p, s, c, f = K.unsqueeze(blob, np.int64, np.uint32, np.uint8, np.uint32, np.uint8)
+            self.repeats.append((d, p.astype(np.int64), s.astype(np.int64), c.astype(np.int64), f.astype(bool)))
         else:
             d, p, n, t = K.unsqueeze(blob, np.int64, np.uint32, np.uint16, np.uint32)
             self.asks.append((d, p.astype(np.int64), n.astype(np.int64), t.astype(np.int64)))
 
 
-def _partners(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From sorted hashes: first of each group, which rows repeat, and a row that each of those repeats."""
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From sorted hashes: first of each group, rows of groups of several, and a row that each of those repeats (as a place among them)."""
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    last = np.append(new[1:], True)
-    again = np.flatnonzero(~(new & last))
-    partner = np.where(new[again], again + 1, first[again])
-    return np.flatnonzero(new), again, partner
+    again = np.flatnonzero(~(new & np.append(new[1:], True))) if len(h) else np.zeros(0, np.int64)
+    first = np.maximum.accumulate(np.where(new[again], np.arange(len(again)), 0))
+    return np.flatnonzero(new), again, np.where(new[again], np.arange(len(again)) + 1, first)
 
 
 def _ship(found: Found, kind: int, h, doc, place, size, parts: int) -> list[tuple]:
-    """Resolve equal hashes of a block among themselves, and send on one of each."""
+    """Resolve equal hashes of a block among themselves, and send on one of each, with its count."""
     order = np.argsort(h, kind="stable")
     h, doc, place, size = h[order], doc[order], place[order], size[order]
-    one, again, partner = _partners(h)
+    one, again, partner = _groups(h)
     if len(again):
-        back = np.searchsorted(again, partner)  # a partner repeats too
-        found.add(kind, doc[again], place[again], size[again], back)
+        if kind != ONE:
+            none = np.zeros(len(again), np.int64)
+            found.tell(kind, doc[again], place[again], size[again], none, none.astype(bool))
+        found.ask(kind, doc[again], place[again], size[again], partner)
+    count = np.diff(np.append(one, len(h)))
     h, doc, place, size = h[one], doc[one], place[one], size[one]
     out = []
     for p, own in _split_by((h >> K.U64(40)) % K.U64(parts), parts):
         table, index = np.unique(doc[own], return_inverse=True)
         head = K.squeeze(table)
-        body = K.squeeze(np.diff(h[own], prepend=K.U64(0)), index.astype(np.uint32), place[own].astype(np.uint32), size[own].astype(np.uint8))
+        body = K.squeeze(np.diff(h[own], prepend=K.U64(0)), index.astype(np.uint32), place[own].astype(np.uint32), size[own].astype(np.uint8), count[own].astype(np.uint32))
         out.append((p, kind, len(head).to_bytes(4, "little") + head + body))
     return out
 
@@ -349,16 +353,22 @@ def _pairs(shards: int):
                     continue
                 n = int.from_bytes(blob[:4], "little")
                 ids = K.unsqueeze(blob[4 : 4 + n], np.int64)[0]
-                d, i, p, s = K.unsqueeze(blob[4 + n :], np.uint64, np.uint32, np.uint32, np.uint8)
-                rows[kind].append((np.cumsum(d, dtype=np.uint64), ids[i], p, s))
+                d, i, p, s, c = K.unsqueeze(blob[4 + n :], np.uint64, np.uint32, np.uint32, np.uint8, np.uint32)
+                rows[kind].append((np.cumsum(d, dtype=np.uint64), ids[i], p, s, c))
         for kind, own in rows.items():
             if own:
-                h, doc, place, size = (np.concatenate(c) for c in zip(*own, strict=True))
+                h, doc, place, size, count = (np.concatenate(c) for c in zip(*own, strict=True))
                 order = np.argsort(h, kind="stable")
-                _, again, partner = _partners(h[order])
-                if len(again):
-                    again, partner = order[again], np.searchsorted(again, partner)
-                    found.add(kind, doc[again], place[again], size[again], partner)
+                doc, place, size = doc[order], place[order], size[order]
+                one, again, partner = _groups(h[order])
+                found.ask(kind, doc[again], place[again], size[again], partner)
+                if kind != ONE:
+                    total = np.add.reduceat(count[order].astype(np.int64), one)
+                    total = np.repeat(total, np.diff(np.append(one, len(h))))
+                    first = np.zeros(len(h), bool)
+                    first[one] = True
+                    many = total > 1
+                    found.tell(kind, doc[many], place[many], size[many], total[many], first[many])
         if out := found.rows(shards):
             yield _rows(out)
 
@@ -377,20 +387,20 @@ def _singles(shards: int, parts: int):
         for kind, blob in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True):
             (seen if kind == REPEATS else found).take(kind, blob)
         if seen.repeats and docs.num_rows:
-            d, p, s = (np.concatenate(c) for c in zip(*seen.repeats, strict=True))
+            d, p, s, c, f = (np.concatenate(x) for x in zip(*seen.repeats, strict=True))
             order = np.argsort(d, kind="stable")
-            d, p, s = d[order], p[order], s[order]
+            d, p, s, c, f = d[order], p[order], s[order], c[order], f[order]
             held = []
             for b in K.slices(docs.to_batches(), 1 << 20):
                 data, off = K.text_bytes(_column(b, "text"))
-                ids, prefix = _ids(_column(b, "doc_id")), None
+                ids = _ids(_column(b, "doc_id"))
                 lo, hi = np.searchsorted(d, ids, side="left"), np.searchsorted(d, ids, side="right")
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
                     continue
                 at = K.spread(lo[some], (hi - lo)[some])
                 row = np.repeat(some, (hi - lo)[some])
-                place, size = p[at], s[at]
+                place, size, count, lead = p[at], s[at], c[at], f[at]
                 prefix = K.PrefixHash(data)
                 core = size == 0
                 first = np.maximum(place[core] - STRIDE + 1, 0)
@@ -398,7 +408,15 @@ def _singles(shards: int, parts: int):
                 good = last >= first
                 maybe = K.covered(len(data), (off[row[core]] + first)[good], (off[row[core]] + last + 1)[good])
                 sure = K.covered(len(data), off[row[~core]] + place[~core], off[row[~core]] + place[~core] + size[~core])
-                x = np.flatnonzero(maybe & ~sure)
+                shared = np.full(len(data) + STRIDE - 1, -1)
+                np.maximum.at(shared, off[row[core]] + place[core], count[core])
+                shared[shared == 0] = NO_ID  # repeated in a number of places that isn't known here
+                tile = lead & ~core
+                y = K.spread(off[row[tile]] + place[tile], size[tile])
+                y = y[_slide(shared, np.maximum, STRIDE)[y] > np.repeat(count[tile], size[tile])]
+                x = maybe & ~sure
+                x[y] = True
+                x = np.flatnonzero(x)
                 r = np.searchsorted(off, x, side="right") - 1
                 held.append((K.mix(prefix.ranges(x, x + SPAN) + K.U64(ONE)), ids[r], x - off[r], np.ones(len(x), np.int64)))
             if held:
