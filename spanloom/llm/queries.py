@@ -103,8 +103,14 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
