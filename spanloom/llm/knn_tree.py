@@ -29,8 +29,9 @@ from . import kernels as K
 from .bitsliced import matrix
 
 #: Rows that the tree is fitted on, at most; queries that calibrate it; the share of true neighbours to find.
-FIT_ROWS, TRIAL_QUERIES, RECALL = 20_000, 128, 0.97
+FIT_ROWS, TRIAL_QUERIES, RECALL = 20_000, 128, 0.95
 BRANCHES = 8
+LEAF_ROWS = 512
 CHUNK_ROWS = 4096
 
 
@@ -45,12 +46,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row: equal rows have equal values, wherever they stand."""
-    a, b = q / np.abs(q).max(), x / np.abs(x).max(axis=1, keepdims=True)
-    return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
-
-
 class Tree:
     """Nodes in one table: centres, and either children or a leaf number."""
 
@@ -118,18 +113,25 @@ class Tree:
         return out
 
 
-def nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, unit_x: np.ndarray, k: int, but: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows of largest cosine, ties to smaller ids."""
-    rough = unit_x @ unit(q[None])[0]
-    rough[ids == but] = -np.inf
-    if len(rough) > k:
-        keep = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - 1e-9)
-    else:
-        keep = np.arange(len(rough))
-    keep = keep[rough[keep] > -np.inf]
-    score = cosines(q, x[keep]) if len(keep) else np.zeros(0)
-    best = np.lexsort((ids[keep], -score))[:k]
-    return ids[keep][best], score[best]
+def nearest(queries: np.ndarray, asking: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, row, cosine) of each query's k rows of largest cosine, ties to smaller ids.
+
+    A matrix product finds the rows that can be among them; those are scored pair by
+    pair, so that equal vectors have equal scores, wherever they stand.
+    """
+    rough = unit(queries) @ unit(x).T
+    rough[asking[:, None] == ids[None]] = -np.inf
+    n = rough.shape[1]
+    least = np.partition(rough, n - k, axis=1)[:, n - k, None] - 1e-9 if n > k else np.full((len(rough), 1), -2.0)
+    q, r = np.nonzero((rough >= least) & (rough > -2))
+    a, b = (v / np.abs(v).max(axis=1, keepdims=True) for v in (queries, x))
+    size_a, size_b = (np.sqrt((v * v).sum(axis=1)) for v in (a, b))
+    score = np.concatenate([(a[q[i : i + 65536]] * b[r[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)] or [np.zeros(0)]) / (size_a[q] * size_b[r])
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    first = np.searchsorted(q, np.arange(len(queries)))
+    good = np.arange(len(q)) - first[q] < k
+    return q[good], r[good], score[good]
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -141,7 +143,7 @@ def fit(vectors: DataFrame, rows: int) -> Tree:
     """A tree from at most FIT_ROWS rows, those of smallest hash; leaves are as many as the rows call for."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow()
     x = matrix(sample["v"])
-    leaves = min(1024, max(1, int(2 * rows**0.5)))
+    leaves = min(1024, max(1, rows // LEAF_ROWS))
     return Tree(unit(x) if len(x) else np.zeros((0, 1)), max(4, len(x) // leaves))
 
 
@@ -157,10 +159,8 @@ def calibrate(vectors: DataFrame, queries: DataFrame, tree: Tree, width: int, k:
             if not b.num_rows:
                 continue
             own, v = np.asarray(b.column(0)), matrix(b.column(1), width)
-            u = unit(v)
-            where = dict(zip(own.tolist(), tree.assign(u).tolist(), strict=True))
-            out = [(q, i, s, where[i]) for q, y in zip(ids, x, strict=True) for i, s in zip(*(a.tolist() for a in nearest(y, own, v, u, k, q)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "vec_id", "score", "leaf"])
+            q, r, score = nearest(x, np.array(ids), own, v, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), pa.array(own[r]), pa.array(score), pa.array(tree.assign(unit(v[r])))], ["query_id", "vec_id", "score", "leaf"])
 
     # at most TRIAL_QUERIES * k rows come back
     true = _best(vectors.mapInArrow(brute, "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
@@ -202,21 +202,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 way = tree.visits(unit(matrix(b.column(1), width)), visits)
-                rows = [(leaf, s, i) for i, w in enumerate(way) for leaf in w for s in range(chunks.get(leaf, 0))]
-                take = pa.array([r[2] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), b.column(0).take(take), b.column(1).take(take)], ["leaf", "salt", "vec_id", "v"])
+                leaf, row = np.array([x for w in way for x in w]), np.repeat(np.arange(len(way)), [len(w) for w in way])
+                salts = np.array([chunks.get(x, 0) for x in leaf.tolist()], np.int64)
+                take = pa.array(np.repeat(row, salts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(leaf, salts)), pa.array(K.spread(np.zeros(len(salts), np.int64), salts)), b.column(0).take(take), b.column(1).take(take)], ["leaf", "salt", "vec_id", "v"])
 
     def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        z = np.zeros(0, np.int64)
+        out = (z, z, np.zeros(0))
         if own.num_rows and wanted.num_rows:
             ids, x = np.asarray(own["vec_id"]), matrix(own["v"], width)
-            u = unit(x)
-            for q, v in zip(wanted["vec_id"].to_pylist(), matrix(wanted["v"], width), strict=True):
-                near, score = nearest(v, ids, x, u, k, q)
-                out[0].extend([q] * len(near))
-                out[1].extend(near.tolist())
-                out[2].extend(score.tolist())
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            asking, v = np.asarray(wanted["vec_id"]), matrix(wanted["v"], width)
+            parts = [(asking[i : i + 256], *nearest(v[i : i + 256], asking[i : i + 256], ids, x, k)) for i in range(0, len(v), 256)]
+            out = tuple(np.concatenate(c) for c in zip(*((a[q], ids[r], score) for a, q, r, score in parts), strict=True))
+        return pa.table([pa.array(c) for c in out], ["query_id", "vec_id", "score"])
 
     shape = "leaf long, salt long, vec_id long, v array<double>"
     rows, ask = vectors.mapInArrow(dealt, shape), queries.mapInArrow(asked, shape)
