@@ -7,11 +7,14 @@ batch at a time, and it is dropped once the posterior chance that its similarity
 reaches the threshold falls below MISS. Survivors are held against each other's
 full sets, and links form components.
 
-Buckets are never expanded into pairs. First every member meets two pivots of its
-bucket. Then only buckets that still hold more than one component are looked at:
-their members are dealt into tiles of bounded size, and a tile gives only pairs
-from different components that pass the Bayesian test. So every pair that shares a
-band is either in one component already or has been tested.
+Buckets are never expanded into pairs. First each bucket is sorted so that members
+with more of the signature in common stand together, and only neighbours that look
+alike enough are held against each other. Then only buckets that still hold more
+than one component are looked at: their members are dealt into tiles of bounded
+size, and a tile gives only pairs from different components, of set sizes that
+allow it, that pass the Bayesian test and then, by 32-bit hashes of their shingles
+(which can only make sets look more alike), reach the threshold. So every pair that
+shares a band is either in one component already or has been tested.
 
 At similarity 0.85 a pair shares none of the BANDS bands of ROWS values with a
 chance of (1 - 0.85**5)**24 = 8e-7.
@@ -41,6 +44,8 @@ BANDS, ROWS, HASHES, BATCH = 24, 5, 128, 32
 PERCENT = 85
 MISS = 1e-6
 TILE = 256
+#: Neighbours are held against each other, before the tiles, if so many signature values agree.
+ALIKE = 104
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, HASHES, dtype=np.uint64) * K.U64(2) + K.U64(1)
 _SHIFTS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
@@ -143,19 +148,35 @@ def _banded(batches):
         if not b.num_rows:
             continue
         sig, ids = _matrix(b.column(1)), np.asarray(b.column(0))
-        keys = []
+        keys, nexts = [], []
         for k in range(BANDS):
             key = np.full(len(ids), K.U64(k + 1))
             for c in range(ROWS):
                 key = K.mix(key * K.U64(31) + sig[:, k * ROWS + c].astype(np.uint64))
             keys.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, BANDS))], ["key", "id"])
+            after = (k + 1) * ROWS
+            nexts.append(sig[:, after].astype(np.int64) << 31 | sig[:, after + 1].astype(np.int64) >> 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nexts)), pa.array(np.tile(ids, BANDS))], ["key", "next", "id"])
 
 
-def _tested(batches):
+def _neighbours(batches):
+    """Rows that follow each other in one bucket. Rows come sorted."""
+    last = None
     for b in batches:
         if b.num_rows:
-            live = pa.array(survivors(_matrix(b.column(2)), _matrix(b.column(3))))
+            key, ids = np.asarray(b.column(0)), np.asarray(b.column(1))
+            if last is not None:
+                key, ids = np.append(last[0], key), np.append(last[1], ids)
+            last = key[-1], ids[-1]
+            at = np.flatnonzero((key[1:] == key[:-1]) & (ids[1:] != ids[:-1]))
+            a, z = ids[at], ids[at + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
+
+
+def _alike(batches):
+    for b in batches:
+        if b.num_rows:
+            live = pa.array(np.flatnonzero((_matrix(b.column(2)) == _matrix(b.column(3))).sum(1) >= ALIKE))
             yield pa.RecordBatch.from_arrays([b.column(0).take(live), b.column(1).take(live)], ["a", "b"])
 
 
@@ -176,24 +197,47 @@ def _exact(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).take(live), part.column(1).take(live)], ["a", "b"])
 
 
+def _short_sets(batches):
+    """Sorted distinct 32-bit shingle hashes of each text."""
+    for b in K.slices(batches, 2 << 20):
+        h, r, _, _ = shingles(*K.text_bytes(b.column(1)))
+        h, r = _distinct(h >> K.U64(32), r)
+        at = np.searchsorted(r, np.arange(b.num_rows + 1)).tolist()
+        short = h.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "words"])
+
+
+def _reaching(x: int, y: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which rows of y may reach the threshold with row x, by short hashes; one is granted for collisions."""
+    own, lengths = flat[at[x] : at[x + 1]], at[y + 1] - at[y]
+    theirs = flat[K.spread(at[y], lengths)]
+    hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths) + 1
+    return y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+
+
 def _tiles(batches):
-    """Pairs of different components within each (key, i, j) tile that pass the Bayesian test. Rows come sorted."""
+    """Pairs of different components within each (key, i, j) tile that pass all tests on short data. Rows come sorted."""
     rest = None
 
     def pairs(t: pa.Table):
         new = np.ones(t.num_rows, bool)
         cols = [np.asarray(t[c]) for c in ("key", "i", "j")]
         new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        ids, comp, block, sig = np.asarray(t["id"]), np.asarray(t["label"]), np.asarray(t["block"]), _matrix(t["sig"])
+        ids, comp, block, sig, size = np.asarray(t["id"]), np.asarray(t["label"]), np.asarray(t["block"]), _matrix(t["sig"]), np.asarray(t["n_shingles"])
+        raw, at = K.text_bytes(t["words"])
+        flat, at = raw.view(np.uint32), at // 4
         out_a, out_b = [], []
         for lo, hi in zip(*K.runs(new), strict=True):
             i, j = cols[1][lo], cols[2][lo]
             left, right = np.flatnonzero(block[lo:hi] == i) + lo, np.flatnonzero(block[lo:hi] == j) + lo
             for k, x in enumerate(left.tolist()):
                 y = right[k + 1 :] if i == j else right
-                y = y[comp[y] != comp[x]]
+                y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
                 if len(y):
                     live = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
+                    if len(live):
+                        live = _reaching(x, live, at, flat, size)
                     out_a.append(np.minimum(ids[x], ids[live]))
                     out_b.append(np.maximum(ids[x], ids[live]))
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
@@ -220,11 +264,11 @@ def link(documents: DataFrame) -> DataFrame:
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kept(docs.mapInArrow(_signs, "doc_id long, one long, two long, n_shingles long, sig binary"), "signed")
     classes = kept(signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
-    chosen = signed.where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id"), "one", "two"), ["doc_id", "one", "two"]).select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
+    chosen = signed.where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id"), "one", "two"), ["doc_id", "one", "two"]).select(F.col("doc_id").alias("id"), "sig", "n_shingles").dropDuplicates(["id"])
     reps = kept(chosen, "reps")
-    bands = reps.mapInArrow(_banded, "key long, id long")
-    pivots = kept(bands.groupBy("key").agg(F.min("id").alias("low"), F.min_by("id", F.xxhash64("id")).alias("other"), F.count("*").alias("n")).where("n > 1"), "pivots")
-    members = kept(bands.join(pivots, "key"), "members")
+    bands = reps.select("id", "sig").mapInArrow(_banded, "key long, next long, id long")
+    shared = kept(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = kept(bands.join(shared, "key"), "members")
     ids = members.select("id").distinct()
     texts = kept(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
     sigs = lambda c: reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
@@ -234,9 +278,9 @@ def link(documents: DataFrame) -> DataFrame:
         joined = pairs.join(words("b"), "b").join(words("a"), "a").select("a", "b", "text_a", "text_b")
         return joined.mapInArrow(_exact, "a long, b long")
 
-    ordered = [F.least("id", p).alias("a") for p in ("low", "other")], [F.greatest("id", p).alias("b") for p in ("low", "other")]
-    star = members.select(ordered[0][0], ordered[1][0]).union(members.select(ordered[0][1], ordered[1][1])).where("a < b").distinct()
-    tested = kept(star.join(sigs("b"), "b").join(sigs("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_tested, "a long, b long"), "tested")
+    order = ["key", "next", "id"]
+    chain = members.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "id").mapInArrow(_neighbours, "a long, b long").distinct()
+    tested = kept(chain.join(sigs("b"), "b").join(sigs("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "tested")
     links = kept(exact(tested), "links")
     labels = components(links)
 
@@ -246,7 +290,9 @@ def link(documents: DataFrame) -> DataFrame:
     dealt = placed.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label").join(reps, "id")
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").select("key", "i", "j", "block", "id", "label", "sig")
+    short = texts.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_short_sets, "id long, words binary")
+    tiles = tiles.join(short, "id")
+    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").select("key", "i", "j", "block", "id", "label", "sig", "n_shingles", "words")
     more = kept(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "tested")
     rest = kept(exact(more), "links")
     if rest.limit(1).count():
