@@ -41,7 +41,9 @@ from . import kernels as K
 SPAN, GRAM, STRIDE = 400, 16, 64
 BLOCK_BYTES = 6 << 20
 #: Bytes of the input's files for each shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
+#: How many neighbours in suffix order are looked at, before strings are looked up one by one.
+NEIGHBOURS = 6
 NO_ID = np.iinfo(np.int64).max
 CORE, TILE, ONE, REPEATS, ASKS = range(5)
 
@@ -73,12 +75,17 @@ def sampled(prefix: K.PrefixHash, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.searchsorted(off, at, side="right") - 1
 
 
+def cores_of(prefix: K.PrefixHash, off: np.ndarray, at: np.ndarray, row: np.ndarray, span: int = SPAN):
+    """(hash, row, place) of the cores at sampled positions that have room for one."""
+    fits = at + span - STRIDE + 1 <= off[1:][row]
+    at, row = at[fits], row[fits]
+    return K.mix(prefix.ranges(at, at + span - STRIDE + 1) + K.U64(CORE)), row, at - off[row]
+
+
 def cores_and_tiles(prefix: K.PrefixHash, off: np.ndarray, span: int = SPAN):
-    """(hash, row, place) of cores, and (hash, row, place, starts) of tiles, in texts of at least `span` bytes."""
+    """Cores, and (hash, row, place, starts) of tiles, in texts of at least `span` bytes."""
     at, row = sampled(prefix, off)
     end = off[1:]
-    fits = at + span - STRIDE + 1 <= end[row]
-    core = K.mix(prefix.ranges(at[fits], at[fits] + span - STRIDE + 1) + K.U64(CORE))
     long = np.flatnonzero(np.diff(off) >= span)
     first, owner = np.unique(np.concatenate([at, off[long]]), return_index=True)
     owner = np.concatenate([row, long])[owner]
@@ -87,7 +94,7 @@ def cores_and_tiles(prefix: K.PrefixHash, off: np.ndarray, span: int = SPAN):
     some = last > first
     a, z, owner = first[some], last[some], owner[some]
     tile = K.mix(prefix.ranges(a, z + span - 1) + (z - a).astype(np.uint64) * K.U64(8) + K.U64(TILE))
-    return (core, row[fits], at[fits] - off[row[fits]]), (tile, owner, a - off[owner], z - a)
+    return cores_of(prefix, off, at, row, span), (tile, owner, a - off[owner], z - a)
 
 
 class Suffixes:
@@ -163,20 +170,28 @@ class Suffixes:
         return order
 
     def same_bytes(self, a, b, length) -> np.ndarray:
-        """Verification: whether the bytes are equal, not just the hashes."""
+        """Verification: whether the bytes are equal, not just the hashes.
+
+        A range of one to two times `most` bytes is its first and its last `most`.
+        """
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.most)
         out = np.ones(len(a), bool)
-        for lo in range(0, len(a), 4096):
-            part = slice(lo, lo + 4096)
-            n = length[part]
-            differs = self.data[K.spread(a[part], n)] != self.data[K.spread(b[part], n)]
-            if differs.any():
-                out[lo + np.repeat(np.arange(len(n)), n)[differs]] = False
+        for lo in range(0, len(a), 2048):
+            part = slice(lo, lo + 2048)
+            x, y, rest = a[part], b[part], length[part] - self.most
+            same = (rows[x] == rows[y]).all(1)
+            more = np.flatnonzero(same & (rest > 0))
+            same[more] = (rows[x[more] + rest[more]] == rows[y[more] + rest[more]]).all(1)
+            out[part] = same
         return out
 
     def repeats(self, at: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [first, last] of starts of strings of `span` bytes that also start elsewhere.
 
-        `at` are positions in ascending order of `group`; a group shares a core.
+        `at` are positions in ascending order of `group`; a group shares a core. Near
+        neighbours in suffix order settle most: a pair that reaches as far as can be to
+        both sides leaves nothing to find. What a few neighbours leave open, as where
+        very many passages end at one place, is settled by single().
         """
         piece = np.searchsorted(self.off, at, side="right") - 1
         room, behind = self.off[piece + 1] - at, at - self.off[piece]
@@ -184,42 +199,66 @@ class Suffixes:
         at, room, behind = at[order], room[order], behind[order]
         n = len(at)
         full_left, full_right = np.minimum(behind, self.back), np.minimum(room, self.most)
-        best_left, best_right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        open_ = np.ones(n, bool)
+        lo, hi = K.runs(np.diff(group, prepend=-1) != 0) if n else (np.zeros(0, np.int64),) * 2
+        large = np.repeat(hi - lo > NEIGHBOURS + 1, hi - lo)
         first, last = [], []
         i = np.flatnonzero(group[:-1] == group[1:]) if n else np.zeros(0, np.int64)
         near = np.zeros(n, np.int64)
         near[i] = self.right(at[i], at[i + 1], (room[i], room[i + 1]))
-        reach, step = near[i].copy(), 1
-        while len(i):
-            j = i + step
-            left = self.left(at[i], at[j], (behind[i], behind[j]))
-            hit = np.flatnonzero(left + reach >= span)
-            if len(hit):
-                a, b = at[i[hit]], at[j[hit]]
-                hit = hit[self.same_bytes(a - left[hit], b - left[hit], left[hit] + reach[hit])]
-                for k in (i[hit], j[hit]):
-                    first.append(at[k] - left[hit])
-                    last.append(at[k] + reach[hit] - span)
-                    # only a pair that reaches both ways as far as can be leaves nothing to find
-                    done = (left[hit] >= full_left[k]) & (reach[hit] >= full_right[k])
-                    best_left[k[done]], best_right[k[done]] = full_left[k[done]], full_right[k[done]]
-            open_ = best_right < 0
-            go = np.flatnonzero((i + step + 1 < n) & (reach + self.back >= span))
+        reach = near[i].copy()
+        for step in range(1, NEIGHBOURS + 1):
+            look = np.flatnonzero(open_[i] | open_[i + step])  # two that are settled have nothing to tell each other
+            x, y, right = i[look], i[look] + step, reach[look]
+            left = self.left(at[x], at[y], (behind[x], behind[y]))
+            hit = np.flatnonzero(left + right >= span)
+            x, y, left, right = x[hit], y[hit], left[hit], right[hit]
+            hit = np.flatnonzero(self.same_bytes(at[x] - left, at[y] - left, left + right))
+            left, right = left[hit], right[hit]
+            for k in (x[hit], y[hit]):
+                first.append(at[k] - left)
+                last.append(at[k] + right - span)
+                open_[k[(left >= full_left[k]) & (right >= full_right[k])]] = False
+            go = i + step + 1 < n
             i, reach = i[go], reach[go]
             reach = np.minimum(reach, near[i + step])
-            keep = (group[np.minimum(i + step + 1, n - 1)] == group[i]) & (reach + self.back >= span)
-            i, reach, step = i[keep], reach[keep], step + 1
-            if len(i):
-                # a pair is worth a look only while one of its own, or one further on in the group, is open
-                keep = open_[i] | open_[i + step]
-                if not keep.all():
-                    gone = np.add.accumulate(open_.astype(np.int64))
-                    end = np.searchsorted(group, group[i], side="right") - 1
-                    keep |= gone[end] - gone[i + step] > 0
-                    i, reach = i[keep], reach[keep]
+            go = (group[i + step + 1] == group[i]) & (reach + self.back >= span) & (~large[i] | open_[i] | open_[i + step + 1])
+            i, reach = i[go], reach[go]
+            if not len(i):
+                break
+        # smaller groups have had all their pairs looked at, or ruled out
+        if (large & open_).any():
+            more = self.single(at, behind, room, group, large, open_ & large, span)
+            first.append(more)
+            last.append(more)
         z = np.zeros(0, np.int64)
         return (np.concatenate(first), np.concatenate(last)) if first else (z, z)
 
+    def single(self, at, behind, room, group, large: np.ndarray, wanted: np.ndarray, span: int) -> np.ndarray:
+        """Starts near wanted positions whose string also starts near another position of a group that has wanted ones."""
+        has = np.unique(group[wanted])
+        member = np.flatnonzero(large & (has[np.minimum(np.searchsorted(has, group), len(has) - 1)] == group))
+        low = np.minimum(behind[member], self.back)
+        high = np.minimum(room[member] - span, 0)  # the last start that the piece has room for, from the position
+        some = high >= -low
+        member, low, high = member[some], low[some], high[some]
+        mask, ask = np.zeros(len(self.data) + 1, bool), np.zeros(len(self.data) + 1, bool)
+        mask[K.spread(at[member] - low, low + high + 1)] = True
+        own = wanted[member]
+        ask[K.spread(at[member[own]] - low[own], (low + high + 1)[own])] = True
+        x = np.flatnonzero(mask)
+        h = self.prefix.ranges(x, x + span)
+        order = np.argsort(h, kind="stable")
+        x, h = x[order], h[order]
+        new = np.ones(len(x), bool)
+        new[1:] = h[1:] != h[:-1]
+        alone = new & np.append(new[1:], True)
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else x
+        partner = np.where(new, np.minimum(np.arange(len(x)) + 1, len(x) - 1), first)
+        found = np.flatnonzero(ask[x] & ~alone)
+        good = self.same_bytes(x[found], x[partner[found]], np.full(len(found), span))
+        return x[found[good]]
+
 
 def _ids(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -461,17 +500,18 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out)])
 
 
-def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each (bytes, offsets) of `texts`, ranges of starts of strings that also start elsewhere in it, in others or in the passages."""
     cores = []
-    for data, off in [*texts, passages]:
-        (h, row, place), _ = cores_and_tiles(K.PrefixHash(data), off)
+    for data, off in [*texts, *passages]:
+        prefix = K.PrefixHash(data)
+        h, row, place = cores_of(prefix, off, *sampled(prefix, off))
         cores.append((h, row, place + off[row]))
     every = np.sort(np.concatenate([c[0] for c in cores]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     # only what lies around repeated cores goes into the sorted text
     pieces, sizes, at, key, homes, total = [], [], [], [], [], 0
-    for k, ((data, off), (h, row, place)) in enumerate(zip([*texts, passages], cores, strict=True)):
+    for k, ((data, off), (h, row, place)) in enumerate(zip([*texts, *passages], cores, strict=True)):
         slot = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
         good = twice[slot] == h if len(twice) else np.zeros(len(h), bool)
         row, place, slot = row[good], place[good], slot[good]
@@ -532,12 +572,16 @@ def _kept_text(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Rec
 
 def _removes(finish):
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
-        lengths, texts = [], []
-        for blob in sent["blob"].to_pylist():
+        passages, lengths, texts, size = [], [], [], 0
+        blobs = sent["blob"].to_pylist()
+        for k, blob in enumerate(blobs):
             n = int.from_bytes(blob[:4], "little")
             lengths.append(K.unsqueeze(blob[4 : 4 + n], np.uint32)[0].astype(np.int64))
             texts.append(K.unsqueeze_bytes(blob[4 + n :]))
-        passages = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(lengths) if lengths else np.zeros(0, np.int64))]).astype(np.int64)
+            size += len(texts[-1])
+            if size > 1 << 20 or k == len(blobs) - 1:
+                passages.append((np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)))
+                lengths, texts, size = [], [], 0
         own = [b for b in K.slices(docs.drop(["shard"]).to_batches(), 1 << 20)]
         parts = [K.text_bytes(_column(b, "text")) for b in own]
         out = [finish(b, data, off, K.covered(len(data), first, last + SPAN)) for b, (data, off), (first, last) in zip(own, parts, repeated_starts(parts, passages), strict=True)]
