@@ -67,13 +67,13 @@ def long_spans(src: str) -> str:
     """pieces(doc_id, k, start, stop) of src(doc_id, k, start, piece, most): greedy packing by recursion over sentence ends."""
     return f"""ends AS (SELECT doc_id, k, i, CAST(sum(length(s[i])) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS b FROM
   (SELECT doc_id, k, {find('piece', P.SENTENCES)} AS s FROM {src} WHERE length(piece) > most), unnest(range(1, len(s) + 1)) t(i)),
-walk AS (SELECT doc_id, k, most, length(piece) AS n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS fit, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS o FROM {src} WHERE length(piece) > most
+walk AS (SELECT doc_id, k, most, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS fit, CAST(-1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, CAST(0 AS BIGINT) AS whole FROM {src} WHERE length(piece) > most
   UNION ALL
-  SELECT w.doc_id, w.k, w.most, w.n, w.i + 1, CASE WHEN e.b - w.cur <= w.most THEN w.cur ELSE greatest(w.cur, w.fit) + greatest(0, (e.b - greatest(w.cur, w.fit) - 1) // w.most) * w.most END,
-    e.b, CASE WHEN e.b - w.cur <= w.most THEN w.o ELSE list_concat(list_concat(w.o, CASE WHEN w.fit > w.cur THEN [{{'a': w.cur, 'b': w.fit}}] ELSE [] END),
-      list_transform(range(greatest(0, (e.b - greatest(w.cur, w.fit) - 1) // w.most)), lambda j: {{'a': greatest(w.cur, w.fit) + j * w.most, 'b': greatest(w.cur, w.fit) + (j + 1) * w.most}})) END
-  FROM walk w JOIN ends e ON e.doc_id = w.doc_id AND e.k = w.k AND e.i = w.i + 1),
-cuts AS (SELECT doc_id, k, unnest(CASE WHEN cur < n THEN list_append(o, {{'a': cur, 'b': CAST(n AS BIGINT)}}) ELSE o END) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i DESC) AS r FROM walk) WHERE r = 1),
+  SELECT doc_id, k, most, i + 1, CASE WHEN fits THEN cur ELSE begin_ + n * most END, b, CASE WHEN NOT fits AND fit > cur THEN cur ELSE -1 END, fit, CASE WHEN fits THEN 0 ELSE n END
+  FROM (SELECT w.*, e.b, e.b - w.cur <= w.most AS fits, greatest(w.cur, w.fit) AS begin_, greatest(0, (e.b - greatest(w.cur, w.fit) - 1) // w.most) AS n FROM walk w JOIN ends e ON e.doc_id = w.doc_id AND e.k = w.k AND e.i = w.i + 1)),
+cuts AS (SELECT doc_id, k, {{'a': a, 'b': z}} AS c FROM walk WHERE a >= 0
+  UNION ALL SELECT doc_id, k, {{'a': cur - (j + 1) * most, 'b': cur - j * most}} FROM walk, unnest(range(whole)) t(j)
+  UNION ALL SELECT doc_id, k, {{'a': max(cur), 'b': max(fit)}} FROM walk GROUP BY doc_id, k HAVING max(cur) < max(fit)),
 rough AS (SELECT c.doc_id, c.k, s.start + c.c.a AS pos_, substr(s.piece, c.c.a + 1, c.c.b - c.c.a) AS p FROM cuts c JOIN {src} s ON s.doc_id = c.doc_id AND s.k = c.k),
 pieces AS (SELECT doc_id, k, pos_ + length(p) - length({lstrip('p')}) AS start, pos_ + length(p) - length({lstrip('p')}) + length({strip('p')}) AS stop FROM rough WHERE {strip('p')} <> ''
   UNION ALL SELECT doc_id, k, start, start + length(piece) FROM {src} WHERE length(piece) <= most)"""
@@ -117,9 +117,10 @@ _PARAGRAPH_HEADED = paragraph_chunks("headed", P.MAX_CHARS)
 for _n in ("ends", "walk", "cuts", "rough", "pieces", "wanted"):
     _PARAGRAPH_HEADED = re.sub(rf"\b{_n}\b", f"p_{_n}", _PARAGRAPH_HEADED)
 
-CHUNKS = f"""{HEADED}, {fixed('headed')}, {_PARAGRAPH_HEADED}, {SECTION_CHUNKS},
+_CHUNKS = f"""{fixed('headed')}, {_PARAGRAPH_HEADED}, {SECTION_CHUNKS},
 chunks AS (SELECT doc_id, 'fixed' AS strategy, chunk_index, start, "end", text FROM fixed UNION ALL SELECT doc_id, 'paragraph', chunk_index, start, "end", text FROM paragraph
   UNION ALL SELECT doc_id, 'section', chunk_index, start, "end", text FROM section)"""
+CHUNKS = f"{HEADED}, {_CHUNKS}"
 
 
 def questions(src: str) -> str:
@@ -148,14 +149,19 @@ hits AS (SELECT question_id, doc_id, strategy, CAST(rank AS INTEGER) AS rank, ch
   (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id, strategy ORDER BY score DESC, chunk_index) AS rank FROM scored) WHERE rank <= {k})"""
 
 
+_KEPT = "headed|headed_all|questions|wanted|p_wanted|ends|p_ends|pieces|p_pieces|paras|lines|kinds|heads|tree|bodies|chunks|own|codes|hits|fixed|tiny|spans|edges|filled|page_lines|pages_|agree|mixed"
+
+
 def sql(*parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+    """One statement; what is used more than once is worked out once."""
+    return "WITH RECURSIVE " + re.sub(rf"(?<![\w.])({_KEPT}) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", ",\n".join(parts[:-1])) + "\n" + parts[-1]
 
 
-HITS = (CHUNKS, questions("headed"), ranked("chunks"))
+# only documents that are asked about are chunked
+_ASKED = (HEADED.replace("headed AS", "headed_all AS", 1), questions("headed_all"), "headed AS (SELECT * FROM headed_all WHERE doc_id IN (SELECT doc_id FROM questions))", _CHUNKS)
+HITS = (*_ASKED, ranked("chunks"))
 _SMALL = (
-    CHUNKS,
-    questions("headed"),
+    *_ASKED,
     fixed("headed", 60, 10, "tiny"),
     "mixed AS (SELECT doc_id, 'fixed' AS strategy, chunk_index, start, \"end\", text FROM tiny UNION ALL SELECT * FROM chunks WHERE strategy <> 'fixed')",
     ranked("mixed"),
@@ -224,8 +230,8 @@ ORACLE: dict[str, str] = {
     "running_line_keys": sql(PAGES, "SELECT doc_id, key, pages FROM running WHERE key <> ''"),
     "strip_running_lines": sql(
         PAGES,
-        f"""gone AS (SELECT e.doc_id, e.page_no, e.line_no FROM edges e JOIN running r USING (doc_id, key) WHERE key <> '')
-SELECT p.doc_id, p.page_no, coalesce(string_agg(l.line, {NL} ORDER BY l.line_no), '') AS text FROM pages_ p LEFT JOIN (SELECT * FROM page_lines ANTI JOIN gone USING (doc_id, page_no, line_no)) l USING (doc_id, page_no) GROUP BY ALL""",
+        f"""gone AS (SELECT e.doc_id, e.page_no, e.line_no FROM edges e JOIN running r USING (doc_id, key) WHERE key <> '')""",
+        f"""SELECT p.doc_id, p.page_no, coalesce(string_agg(l.line, {NL} ORDER BY l.line_no), '') AS text FROM pages_ p LEFT JOIN (SELECT * FROM page_lines ANTI JOIN gone USING (doc_id, page_no, line_no)) l USING (doc_id, page_no) GROUP BY ALL""",
     ),
     "rejoin_hyphens": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z])([tne]) ([a-z])', '\\1\\2-' || {NL} || '\\3', 'g') AS text FROM documents),
 p AS (SELECT doc_id, string_split_regex(text, {q(P.HYPHEN_SPLIT)}) AS b, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 1) AS l, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 2) AS r,
