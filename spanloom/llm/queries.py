@@ -11,6 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.conv_id, p.participant, t.turn, t.text, t.speaker = p.participant AS own, CASE WHEN t.speaker = p.participant THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user' END AS role, t.speaker
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|turn|>' || role || CASE WHEN role = 'user' THEN '|' || speaker ELSE '' END || chr(10) AS head FROM r)
+SELECT conv_id, participant, turn, role, CASE WHEN role = 'user' THEN speaker END AS name, head || text || '<|end|>' || chr(10) AS rendered,
+  CAST(CASE WHEN own THEN length(head) ELSE 0 END AS INTEGER) AS mask_start, CAST(CASE WHEN own THEN length(head) + length(text) ELSE 0 END AS INTEGER) AS mask_end,
+  CAST(length(head) + length(text) + 8 AS INTEGER) AS n_chars FROM h
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,8 +128,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup, op10_suffix_array_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_perspective_rotation, op2_byte_bpe, op3_bitsliced_topk, op4_minhash_bayes, op5_sequence_packing, op6_kmeans_tree, op7_quality_ranking, op8_warc_segments, op9_fm_index_dedup, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bitsliced_topk": OP3_SQL, "op8_warc_segments": OP8_SQL}
+    return {"op1_perspective_rotation": OP1_SQL, "op3_bitsliced_topk": OP3_SQL, "op8_warc_segments": OP8_SQL}
