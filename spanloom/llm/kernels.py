@@ -186,8 +186,12 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; for a file scan, its files' size. Reads no data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what a frame reads: its files', or, where a source doesn't know, its texts'."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < 1 << 60:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
 def shard_count(df: DataFrame, shard_bytes: int = 6 << 20, least: int = 64) -> int:
