@@ -5,7 +5,7 @@ from spanloom.functions import spans as S
 from spanloom.operators import chunkers, compare, embedding, generation, retrieval, scoring, store
 from spanloom.sources import answer_sets, samples
 
-TEXT = "# Stove\n\nThe stove burns dry wood. It boils water fast.\n\n## Warranty\n\nThe warranty lasts two years. Keep the receipt for it.\n\n## Storage\n\nStore the stove dry over the winter. Clean it first.\n" * 3
+TEXT = "# Stove\n\nThe stove burns dry wood. It boils water fast. It folds flat for the way home, and it has three legs that lock.\n\n## Warranty\n\nThe warranty lasts two years. Keep the receipt for it. It covers the legs and the plate, but not the paint or rust.\n\n## Storage\n\nStore the stove dry over the winter. Clean it first. Leave the bag open so that the air can get at it while it stands there.\n" * 3
 
 
 def test_buckets(spark):
@@ -23,7 +23,7 @@ def test_dense_vectors_agree_with_counts(spark):
 def found(spark):
     docs = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, 1, "How long is the warranty?", TEXT.index("The warranty"), TEXT.index("The warranty") + 29)], "question_id long, doc_id long, question string, ans_start int, ans_end int")
-    hits = retrieval.retrieve(asked, chunkers.every(docs, 120, 20, 200)).persist()
+    hits = retrieval.retrieve(asked, chunkers.every(docs, 160, 20, 200)).persist()
     return docs, asked, hits
 
 
