@@ -189,7 +189,8 @@ def _asked(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.retrieve(*_asked(spark, d))
+    # at most 20 rows for each strategy and question; several branches start from them
+    return retrieval.retrieve(*_asked(spark, d)).persist()
 
 
 @query
@@ -266,7 +267,7 @@ def _small_hits(spark, d) -> DataFrame:
     docs, asked = C.headed(spark, d), _questions(spark, d)
     own = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     parts = chunkers.fixed(own, 60, 10).unionByName(chunkers.paragraph(own)).unionByName(chunkers.section(own))
-    return retrieval.retrieve(asked, parts)
+    return retrieval.retrieve(asked, parts).persist()
 
 
 @query
