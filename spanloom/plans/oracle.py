@@ -372,3 +372,30 @@ ORACLE |= {
   CASE WHEN s."end" - s.start < 100 THEN 'short' END, CASE WHEN n.bare THEN 'unlabeled_numbers' END) AS flags FROM spans s LEFT JOIN numbers_ n USING (doc_id, start)""",
     ),
 }
+
+_PROMPTS = f"""prompts AS (SELECT h.question_id, h.doc_id, h.strategy, string_agg('[' || h.rank || ']' || {NL} || {strip('c.text')}, {NL} || {NL} ORDER BY h.rank) AS passages FROM hits h JOIN chunks c USING (doc_id, strategy, chunk_index) GROUP BY ALL),
+said_ AS (SELECT *, {strip("substr(passages, instr(passages, ']' || chr(10)) + 2)")} AS body FROM prompts),
+answers AS (SELECT question_id, doc_id, strategy, CASE WHEN body <> '' THEN left(split_part(body, '. ', 1), 200) END AS text, body = '' AS refused, false AS truncated FROM said_)"""
+_LAST = "substr(d.text, h.start + 1, h.\"end\" - h.start)"
+ORACLE |= {
+    "generated_answers": sql(*HITS, _PROMPTS, "SELECT * FROM answers"),
+    "comparable_answers": sql(
+        *HITS,
+        _PROMPTS,
+        """SELECT question_id, doc_id, max(text) FILTER (WHERE strategy = 'fixed') AS fixed, max(text) FILTER (WHERE strategy = 'paragraph') AS paragraph, max(text) FILTER (WHERE strategy = 'section') AS section
+  FROM answers GROUP BY ALL HAVING count(*) FILTER (WHERE coalesce(text, '') <> '') = 3""",
+    ),
+    "result_cards": sql(
+        *HITS,
+        f"""cut_ AS (SELECT question_id, doc_id, strategy, rank, s[i] AS t, i FROM (SELECT h.question_id, h.doc_id, h.strategy, h.rank, string_split({_LAST}, {NL}) AS s FROM hits h JOIN headed d USING (doc_id)), unnest(range(1, len(s) + 1)) x(i) WHERE {has('s[i]', P.NOT_WS)})""",
+        f"masked AS (SELECT *, {_MASK} AS m FROM cut_)",
+        _JUDGED,
+        "headed_ AS (SELECT *, coalesce(bool_or(w >= 2 AND n = 0 AND NOT ends_with(m, '.')) OVER (PARTITION BY question_id, doc_id, strategy, rank ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS labelled FROM judged)",
+        f"numbers_ AS (SELECT question_id, doc_id, strategy, rank, bool_or({_BARE} AND NOT labelled) AS bare FROM headed_ GROUP BY ALL)",
+        'firsts_ AS (SELECT h.*, array_to_string(t.path, \' > \') AS section FROM hits h ASOF LEFT JOIN tree t ON t.doc_id = h.doc_id AND h.start >= t.pos_)',
+        'lasts_ AS (SELECT h.*, array_to_string(t.path, \' > \') AS section_end FROM (SELECT *, "end" - 1 AS last FROM firsts_) h ASOF LEFT JOIN tree t ON t.doc_id = h.doc_id AND h.last >= t.pos_)',
+        f"""SELECT h.question_id, h.doc_id, h.strategy, h.rank, CAST(len({find('c.text', P.NOT_WS + '+')}) AS INTEGER) AS tokens, len({find('c.text', P.NOT_WS + '+')}) > 256 AS truncated, coalesce(section, '') AS section, coalesce(section_end, '') AS section_end,
+  concat_ws('|', CASE WHEN {_starts('d.text', 'h.start')} THEN 'starts_mid_sentence' END, CASE WHEN {_stops('d.text', 'h."end"')} THEN 'ends_mid_sentence' END, CASE WHEN h."end" - h.start < 100 THEN 'short' END, CASE WHEN n.bare THEN 'unlabeled_numbers' END) AS flags
+  FROM lasts_ h JOIN chunks c USING (doc_id, strategy, chunk_index) JOIN headed d ON d.doc_id = h.doc_id LEFT JOIN numbers_ n ON n.question_id = h.question_id AND n.doc_id = h.doc_id AND n.strategy = h.strategy AND n.rank = h.rank""",
+    ),
+}
