@@ -37,6 +37,7 @@ SENTENCE_OR_COLON_END = r"[.!?:][)\]\"'”’]*\z"
 # flags
 BULLET = rf"\A(?:[•▪◦*-]|o{WS}|\p{{Nd}}+[.)]{WS}|[a-z][.)]{WS}|#)"
 SENTENCE_END = rf"[.!?][)\]\"”’':;]*{WS}*\z"
+SAYS = rf"[^{_WS})\]\"”’':;]"  # neither white space nor what may close a sentence
 NUMBERS = r"(\p{L}?)([-−+]?\p{Nd}+(?:[.,]\p{Nd}+)*%?)"
 LABELS = r"[A-Za-z][A-Za-z'’-]+"
 UNIT_TOKENS = r"[\p{L}\p{N}_°%µ.]+"

@@ -76,6 +76,12 @@ def _at(text: Column, place: Column) -> Column:
 
 
 def starts_mid_sentence(text: Column, start: Column) -> Column:
+    """Only what stands around `start` is looked at, cut out once: a place in a long text is costly to find."""
+    low = F.greatest(start - 300, F.lit(0))
+    return let(F.struct(F.substring(text, low + 1, start - low + 5).alias("w"), (start - low).alias("s")), lambda v: _starts_mid(v["w"], v["s"]))
+
+
+def _starts_mid(text: Column, start: Column) -> Column:
     before = F.substring(text, F.greatest(start - 300, F.lit(0)) + 1, F.least(start, F.lit(300)))
     body = rstrip(before)
     gap = F.substring(before, F.length(body) + 1, F.length(before))
@@ -93,6 +99,15 @@ def starts_mid_sentence(text: Column, start: Column) -> Column:
 
 
 def ends_mid_sentence(text: Column, end: Column) -> Column:
+    """As above; the whole text is looked at only if what stands before `end` says nothing."""
+    low = F.greatest(end - 400, F.lit(0))
+    near = F.struct(F.substring(text, low + 1, end - low + 301).alias("w"), (end - low).alias("e"))
+    says = lambda v: F.substring(v["w"], F.lit(1), v["e"]).rlike(P.SAYS)
+    chosen = lambda v: F.struct(F.when(says(v), v["w"]).otherwise(text).alias("w"), F.when(says(v), v["e"]).otherwise(end).alias("e"))
+    return let(near, lambda v: let(chosen(v), lambda c: _ends(c["w"], c["e"])))
+
+
+def _ends(text: Column, end: Column) -> Column:
     body = rstrip(F.substring(text, F.lit(1), end))
     after = F.substring(text, end + 1, F.lit(300))
     return let(F.struct(body.alias("body"), after.alias("after"), lstrip(after).alias("rest")), lambda x: _ends_mid(text, end, x["body"], x["after"], x["rest"]))
