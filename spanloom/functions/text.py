@@ -144,18 +144,24 @@ def sentence_with_units(line: Column) -> Column:
 
 
 def unlabeled_numbers(chunk: Column) -> Column:
-    """Whether a line of numbers has nothing, on it or up to three lines above, that says what they are."""
-    lines = F.transform(F.filter(split_lines(chunk), lambda x: ~blank(x)), lambda x: F.regexp_replace(strip(x), f"(?iu){P.DATES}", "date"))
-    said = F.transform(
-        lines,
-        lambda x: F.struct(F.size(numbers(x)).alias("n"), F.size(labels(x)).alias("w"), sentence_with_units(x).alias("s"), (~x.endswith(".")).alias("open")),
-    )
+    """Whether a line of numbers has nothing, on it or up to three lines above, that says what they are.
+
+    A chunk without a digit has none, and dates and units are looked for only in lines with digits.
+    """
+    return F.when(chunk.rlike(r"\p{Nd}"), _unlabeled(chunk)).otherwise(False)
+
+
+def _unlabeled(chunk: Column) -> Column:
+    digits = lambda x: x.rlike(r"\p{Nd}")
+    masked = lambda x: F.when(digits(x), F.regexp_replace(x, f"(?iu){P.DATES}", "date")).otherwise(x)
+    lines = F.transform(F.filter(split_lines(chunk), lambda x: ~blank(x)), lambda x: let(strip(x), masked))
+    facts = lambda x: F.struct(F.when(digits(x), F.size(numbers(x))).otherwise(0).alias("n"), F.size(labels(x)).alias("w"), F.when(digits(x), sentence_with_units(x)).otherwise(False).alias("s"), (~x.endswith(".")).alias("open"))
     bare = lambda x: ~x["s"] & (((x["n"] >= 2) & (x["w"] < x["n"])) | ((x["n"] == 1) & (x["w"] == 0)))
     head = lambda x: (x["w"] >= 2) & (x["n"] == 0) & x["open"]
     # a fold needs only whether each of the last three lines is a header
     start = F.struct(F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(False).alias("c"), F.lit(False).alias("found"))
     step = lambda z, x: F.struct(z["b"].alias("a"), z["c"].alias("b"), head(x).alias("c"), (z["found"] | (bare(x) & ~(z["a"] | z["b"] | z["c"]))).alias("found"))
-    return F.aggregate(said, start, step, lambda z: z["found"])
+    return F.aggregate(F.transform(lines, facts), start, step, lambda z: z["found"])
 
 
 def chunk_flags(text: Column, start: Column, end: Column) -> Column:
