@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+#: Bytes of the input's files for each shard of documents, and of windows.
+SHARD_BYTES = 4 << 20
 LANE = 32
 NO_ID = np.iinfo(np.int64).max
 
@@ -255,7 +257,7 @@ def _windows(shards: int, parts: int):
 
     def run(batches):
         held, size = [], 0
-        for b in K.slices(batches, 2 << 20):
+        for b in K.slices(batches, 1 << 20):
             _, start, _, row, word = _word_arrays(b.column(1))
             held.append((_ids(b.column(0)), word, row))
             size += len(K.text_bytes(b.column(1))[0])
@@ -316,7 +318,7 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         by = np.argsort(source, kind="stable")
         ordered = source[by]
         seen: set[int] = set()
-        for b in K.slices(docs.to_batches(), 2 << 20):
+        for b in K.slices(docs.to_batches(), 1 << 20):
             data, start, end, row, _ = _word_arrays(b.column(b.schema.get_field_index("text")))
             raw, edge = data.tobytes(), np.searchsorted(row, np.arange(b.num_rows))
             for k, doc in enumerate(_ids(b.column(b.schema.get_field_index("doc_id"))).tolist()):
@@ -360,7 +362,7 @@ _RESULT_NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 def _removes(docs: pa.Table, found: pa.Table) -> pa.Table:
     out = []
     index = PassageIndex(*passages(found["blob"].to_pylist())) if found.num_rows else None
-    for b in K.slices(docs.to_batches(), 2 << 20):
+    for b in K.slices(docs.to_batches(), 1 << 20):
         data, start, end, row, word = _word_arrays(b.column(b.schema.get_field_index("text")))
         ids = _ids(b.column(b.schema.get_field_index("doc_id")))
         n, count = b.num_rows, np.bincount(row, minlength=b.num_rows)
@@ -384,8 +386,7 @@ def _removes(docs: pa.Table, found: pa.Table) -> pa.Table:
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of `documents`."""
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = K.shard_count(documents)
-    parts = K.shard_count(documents, 8 << 20)
+    shards = parts = K.shard_count(documents, SHARD_BYTES)
     routed = docs.mapInArrow(_windows(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_firsts(shards), _ROUTED)
     sharded = docs.withColumn("shard", K.shard_column(F.coalesce("doc_id", F.lit(int(NO_ID))), shards))
     sent = sharded.groupBy("shard").cogroup(routed.groupBy(F.col("part").alias("shard"))).applyInArrow(_sends, _ROUTED)
