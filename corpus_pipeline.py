@@ -18,6 +18,10 @@ from spanloom.llm import minhash, packing, quality, shared, suffix_dedup
 ORACLE_SQL = None
 
 
+#: Documents are near copies if their sets of five-word shingles have this similarity, in percent.
+NEAR = 80
+
+
 def _importable(spark: SparkSession) -> None:
     """Let Python workers import this repository where it wasn't shipped to them."""
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
@@ -35,7 +39,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest id."""
     _importable(spark)
-    linked = minhash.link(docs)
+    linked = minhash.link(docs, NEAR)
     gone = linked.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -17,7 +17,7 @@ allow it, that pass the Bayesian test and then, by 32-bit hashes of their shingl
 shares a band is either in one component already or has been tested.
 
 At similarity 0.85 a pair shares none of the BANDS bands of ROWS values with a
-chance of (1 - 0.85**5)**24 = 8e-7.
+chance of (1 - 0.85**5)**24 = 8e-7; at 0.80, with a chance of 7e-5.
 
 Nulls: a null or empty text has an empty set and is linked with nothing; fewer
 words than a shingle are one shingle. A null id stays null and is its own
@@ -40,12 +40,12 @@ from .shared import kept
 
 SHINGLE = 5
 BANDS, ROWS, HASHES, BATCH = 24, 5, 128, 32
-#: A pair is linked if 100 * intersection >= PERCENT * union.
+#: A pair is linked if 100 * intersection >= PERCENT * union, unless link() is told another percentage.
 PERCENT = 85
 MISS = 1e-6
 TILE = 256
-#: Neighbours are held against each other, before the tiles, if so many signature values agree.
-ALIKE = 104
+#: Neighbours are held against each other, before the tiles, if at most so many fewer signature values agree than the threshold's share.
+ALIKE = 4
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, HASHES, dtype=np.uint64) * K.U64(2) + K.U64(1)
 _SHIFTS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
@@ -68,10 +68,10 @@ def least_matches(share: float = PERCENT / 100, miss: float = MISS) -> list[tupl
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def survivors(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs of signatures (rows of a and b) pass every batch; later batches are read for those only."""
     live, agree, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-    for n, least in least_matches():
+    for n, least in least_matches(percent / 100):
         agree[live] += (a[live, at:n] == b[live, at:n]).sum(1)
         live, at = live[agree[live] >= least], n
     return live
@@ -173,28 +173,37 @@ def _neighbours(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
 
 
-def _alike(batches):
-    for b in batches:
-        if b.num_rows:
-            live = pa.array(np.flatnonzero((_matrix(b.column(2)) == _matrix(b.column(3))).sum(1) >= ALIKE))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(live), b.column(1).take(live)], ["a", "b"])
+def _alike(percent: int):
+    least = HASHES * percent // 100 - ALIKE
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                live = pa.array(np.flatnonzero((_matrix(b.column(2)) == _matrix(b.column(3))).sum(1) >= least))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(live), b.column(1).take(live)], ["a", "b"])
 
+    return run
 
-def _exact(batches):
+
+def _exact(percent: int):
     """Pairs whose full sets are similar enough."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
-            both = pa.concat_arrays([part.column(2), part.column(3)])
-            data, off = K.text_bytes(both)
-            h, r = _distinct(*shingles(data, off)[:2])
-            n = part.num_rows
-            size = np.bincount(r, minlength=2 * n)
-            hh, rr = _distinct(h, r % n)  # what both sides hold is once less here
-            union = np.bincount(rr, minlength=n)
-            shared = size[:n] + size[n:] - union
-            live = pa.array(np.flatnonzero((100 * shared >= PERCENT * union) & (union > 0)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(live), part.column(1).take(live)], ["a", "b"])
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                both = pa.concat_arrays([part.column(2), part.column(3)])
+                data, off = K.text_bytes(both)
+                h, r = _distinct(*shingles(data, off)[:2])
+                n = part.num_rows
+                size = np.bincount(r, minlength=2 * n)
+                hh, rr = _distinct(h, r % n)  # what both sides hold is once less here
+                union = np.bincount(rr, minlength=n)
+                shared = size[:n] + size[n:] - union
+                live = pa.array(np.flatnonzero((100 * shared >= percent * union) & (union > 0)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(live), part.column(1).take(live)], ["a", "b"])
+
+    return run
 
 
 def _short_sets(batches):
@@ -207,18 +216,17 @@ def _short_sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "words"])
 
 
-def _reaching(x: int, y: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _reaching(x: int, y: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which rows of y may reach the threshold with row x, by short hashes; one is granted for collisions."""
     own, lengths = flat[at[x] : at[x + 1]], at[y + 1] - at[y]
     theirs = flat[K.spread(at[y], lengths)]
     hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
     both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths) + 1
-    return y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+    return y[100 * both >= percent * (size[x] + size[y] - both)]
 
 
-def _tiles(batches):
+def _tiles(percent: int):
     """Pairs of different components within each (key, i, j) tile that pass all tests on short data. Rows come sorted."""
-    rest = None
 
     def pairs(t: pa.Table):
         new = np.ones(t.num_rows, bool)
@@ -233,34 +241,38 @@ def _tiles(batches):
             left, right = np.flatnonzero(block[lo:hi] == i) + lo, np.flatnonzero(block[lo:hi] == j) + lo
             for k, x in enumerate(left.tolist()):
                 y = right[k + 1 :] if i == j else right
-                y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
+                y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
                 if len(y):
-                    live = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
+                    live = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], percent)]
                     if len(live):
-                        live = _reaching(x, live, at, flat, size)
+                        live = _reaching(x, live, at, flat, size, percent)
                     out_a.append(np.minimum(ids[x], ids[live]))
                     out_b.append(np.maximum(ids[x], ids[live]))
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        key, i, j = (np.asarray(t[c]) for c in ("key", "i", "j"))
-        same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
-        cut = int(np.argmax(same))  # the last tile may go on in the next batch
-        if cut:
-            yield pairs(t.slice(0, cut))
-        rest = t.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield pairs(rest)
-
-
-def link(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `documents`."""
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            key, i, j = (np.asarray(t[c]) for c in ("key", "i", "j"))
+            same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
+            cut = int(np.argmax(same))  # the last tile may go on in the next batch
+            if cut:
+                yield pairs(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+
+    return run
+
+
+def link(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `documents`; `percent` is the least similarity of a link."""
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kept(docs.mapInArrow(_signs, "doc_id long, one long, two long, n_shingles long, sig binary"), "signed")
     classes = kept(signed.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("id")), "classes")
@@ -276,11 +288,11 @@ def link(documents: DataFrame) -> DataFrame:
 
     def exact(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(words("b"), "b").join(words("a"), "a").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(_exact, "a long, b long")
+        return joined.mapInArrow(_exact(percent), "a long, b long")
 
     order = ["key", "next", "id"]
     chain = members.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("key", "id").mapInArrow(_neighbours, "a long, b long").distinct()
-    tested = kept(chain.join(sigs("b"), "b").join(sigs("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long"), "tested")
+    tested = kept(chain.join(sigs("b"), "b").join(sigs("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(percent), "a long, b long"), "tested")
     links = kept(exact(tested), "links")
     labels = components(links)
 
@@ -293,7 +305,7 @@ def link(documents: DataFrame) -> DataFrame:
     short = texts.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_short_sets, "id long, words binary")
     tiles = tiles.join(short, "id")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").select("key", "i", "j", "block", "id", "label", "sig", "n_shingles", "words")
-    more = kept(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "tested")
+    more = kept(tiles.mapInArrow(_tiles(percent), "a long, b long").distinct(), "tested")
     rest = kept(exact(more), "links")
     if rest.limit(1).count():
         labels = components(links.union(rest))

@@ -64,7 +64,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
-    return minhash.link(_table(spark, sf_dir, "documents"))
+    return minhash.link(_table(spark, sf_dir, "documents"), 85)
 
 
 def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

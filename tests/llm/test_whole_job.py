@@ -1,0 +1,46 @@
+"""Cases where an operator used to do less than the whole job, against brute force."""
+
+import random
+
+from test_documents import sets
+
+from spanloom.llm import minhash
+
+
+def say(rng, n):
+    return " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+
+
+def edited(text, places):
+    return " ".join(f"new{k}" if k in places else w for k, w in enumerate(text.split()))
+
+
+def near_components(rows, percent):
+    """The smallest id linked with each id of (id, text) rows, by the sets of all pairs."""
+    s = {i: sets(t) for i, t in rows}
+    label = {i: i for i in s}
+    links = [(a, b) for a in s for b in s if a < b and s[a] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    for _ in s:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def near_rows():
+    rng = random.Random(4)
+    base = [say(rng, 200) for _ in range(12)]
+    # four single words far from each other: 176 of 216 shingles, 0.81
+    return [(2 * k + half, edited(t, {20, 70, 120, 170}) if half else t) for k, t in enumerate(base) for half in (0, 1)]
+
+
+def test_near_copies_stage_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    rows = near_rows()
+    a, b = (sets(t) for _, t in rows[:2])
+    assert (len(a & b), len(a | b)) == (176, 216)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, c in near_components(rows, 80).items() if i == c}
+    assert len(want) == 12
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == want
+    assert {r.doc_id for r in minhash.link(docs).where("kept").collect()} == {i for i, _ in rows}
