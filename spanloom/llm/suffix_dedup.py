@@ -23,6 +23,9 @@ chosen by its own content.
 Hashes only route; step 4 decides. Since a block sends one row of equal strings, no
 frequent passage gathers in one task, and shards have a bounded size.
 
+Rows are told apart by a hash of their id and text, so places found in one row never
+apply to a different text, and rows without an id are dealt over all shards.
+
 Nulls: a null text is empty; a null id stays null. Repeated rows repeat each
 other. Other columns are ignored.
 """
@@ -44,7 +47,10 @@ BLOCK_BYTES = 6 << 20
 SHARD_BYTES = 2 << 20
 #: How many neighbours in suffix order are looked at, before strings are looked up one by one.
 NEIGHBOURS = 6
-NO_ID = np.iinfo(np.int64).max
+#: Places repeated so often that it isn't known how often.
+MANY = np.iinfo(np.int64).max
+#: The column that tells rows apart: rows that share it have the same id and text.
+KEY = "_row_key"
 CORE, TILE, ONE, REPEATS, ASKS = range(5)
 
 
@@ -260,11 +266,6 @@ class Suffixes:
         return x[found[good]]
 
 
-def _ids(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.fill_null(int(NO_ID))).astype(np.int64)
-
-
 _ROUTED = "part long, kind int, blob binary"
 
 
@@ -367,7 +368,7 @@ def _reads(shards: int, parts: int):
         held, total = [], 0
         for b in K.slices(batches, 1 << 20):
             data, off = K.text_bytes(b.column(1))
-            ids = _ids(b.column(0))
+            ids = np.asarray(b.column(0))
             (h, row, place), (h2, row2, place2, size2) = cores_and_tiles(K.PrefixHash(data), off)
             held.append(((h, ids[row], place, np.ones(len(h), np.int64)), (h2, ids[row2], place2, size2)))
             total += len(data)
@@ -432,7 +433,7 @@ def _singles(shards: int, parts: int):
             held = []
             for b in K.slices(docs.to_batches(), 1 << 20):
                 data, off = K.text_bytes(_column(b, "text"))
-                ids = _ids(_column(b, "doc_id"))
+                ids = np.asarray(_column(b, KEY))
                 lo, hi = np.searchsorted(d, ids, side="left"), np.searchsorted(d, ids, side="right")
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
@@ -449,7 +450,7 @@ def _singles(shards: int, parts: int):
                 sure = K.covered(len(data), off[row[~core]] + place[~core], off[row[~core]] + place[~core] + size[~core])
                 shared = np.full(len(data) + STRIDE - 1, -1)
                 np.maximum.at(shared, off[row[core]] + place[core], count[core])
-                shared[shared == 0] = NO_ID  # repeated in a number of places that isn't known here
+                shared[shared == 0] = MANY  # repeated in a number of places that isn't known here
                 tile = lead & ~core
                 y = K.spread(off[row[tile]] + place[tile], size[tile])
                 y = y[_slide(shared, np.maximum, STRIDE)[y] > np.repeat(count[tile], size[tile])]
@@ -489,7 +490,7 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         parts: dict[int, list] = {}
         for b in K.slices(docs.to_batches(), 1 << 20):
             data, off = K.text_bytes(_column(b, "text"))
-            raw, ids = data.tobytes(), _ids(_column(b, "doc_id"))
+            raw, ids = data.tobytes(), np.asarray(_column(b, KEY))
             lo, hi = np.searchsorted(d, ids, side="left"), np.searchsorted(d, ids, side="right")
             for k in np.flatnonzero(hi > lo).tolist():
                 for r in range(lo[k], hi[k]):
@@ -582,28 +583,32 @@ def _removes(finish):
             if size > 1 << 20 or k == len(blobs) - 1:
                 passages.append((np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)))
                 lengths, texts, size = [], [], 0
-        own = [b for b in K.slices(docs.drop(["shard"]).to_batches(), 1 << 20)]
+        own = [b for b in K.slices(docs.drop(["shard", KEY]).to_batches(), 1 << 20)]
         parts = [K.text_bytes(_column(b, "text")) for b in own]
         out = [finish(b, data, off, K.covered(len(data), first, last + SPAN)) for b, (data, off), (first, last) in zip(own, parts, repeated_starts(parts, passages), strict=True)]
         if out:
             return pa.Table.from_batches(out)
-        empty = docs.drop(["shard"]).slice(0, 0).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema=docs.drop(["shard"]).schema)]
+        empty = docs.drop(["shard", KEY]).slice(0, 0).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema=docs.drop(["shard", KEY]).schema)]
         return pa.Table.from_batches([finish(empty[0], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool))])
 
     return run
 
 
+def keyed(documents: DataFrame, shards: int) -> DataFrame:
+    """The documents with their row keys and shards."""
+    return documents.withColumn(KEY, F.xxhash64("doc_id", "text")).withColumn("shard", K.shard_column(KEY, shards))
+
+
 def dedup(documents: DataFrame, finish=_digest, schema=RESULT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `documents`.
 
     `documents` needs doc_id (long) and text (string); further columns reach `finish`,
     which makes the result's columns from a batch and its mask of removed bytes.
     """
-    docs = documents.select("doc_id", "text")
     shards, parts = K.shard_count(documents, SHARD_BYTES), K.shard_count(documents, 8 << 20)
-    key = K.shard_column(F.coalesce("doc_id", F.lit(int(NO_ID))), shards)
-    routed = docs.mapInArrow(_reads(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards), _ROUTED)
-    text = documents.withColumn("shard", key).groupBy("shard")
+    own = keyed(documents, shards)
+    routed = own.select(KEY, "text").mapInArrow(_reads(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards), _ROUTED)
+    text = own.groupBy("shard")
     by_shard = lambda df: df.groupBy(F.col("part").alias("shard"))
     singles = text.cogroup(by_shard(routed)).applyInArrow(_singles(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards), _ROUTED)
     sent = text.cogroup(by_shard(singles)).applyInArrow(_sends, _ROUTED)

@@ -1,10 +1,13 @@
 """Cases where an operator used to do less than the whole job, against brute force."""
 
+import hashlib
 import random
+from collections import Counter
 
-from test_documents import sets
+import numpy as np
+from test_documents import removed, sets
 
-from spanloom.llm import minhash
+from spanloom.llm import minhash, suffix_dedup
 
 
 def say(rng, n):
@@ -44,3 +47,30 @@ def test_near_copies_stage_links_from_80_percent(spark):
     assert len(want) == 12
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == want
     assert {r.doc_id for r in minhash.link(docs).where("kept").collect()} == {i for i, _ in rows}
+
+
+def byte_strings(rows):
+    """(id, bytes, removed, digest of what is left) of (id, text) rows."""
+    contents = [(t or "").encode() for _, t in rows]
+    gone = removed(contents, 400)
+    return Counter((i, len(t), int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for (i, _), t, g in zip(rows, contents, gone, strict=True))
+
+
+def test_byte_strings_of_rows_without_ids_and_with_equal_ids(spark):
+    rng = random.Random(6)
+    passage, other = say(rng, 150), say(rng, 110)
+    rows = []
+    for i in (None, 7):
+        rows += [(i, passage + " " + say(rng, 10)), (i, say(rng, 20)), (i, say(rng, 90) + " " + other), (i, other + " " + say(rng, 300)), (i, say(rng, 40) + " " + passage), (i, None), (i, "")]
+        rows += [(i, say(rng, rng.randint(1, 500))) for _ in range(8)]
+    rows += [(i, say(rng, 80) + " " + passage) for i in range(20, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.digests(docs).collect())
+    assert got == byte_strings(rows)
+
+
+def test_rows_without_ids_are_dealt_over_shards(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(None, say(rng, 9)) for _ in range(200)], "doc_id long, text string")
+    by = suffix_dedup.keyed(docs, 64).groupBy("shard").count().collect()
+    assert len(by) > 40 and max(r["count"] for r in by) < 20
