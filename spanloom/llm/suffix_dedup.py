@@ -180,8 +180,10 @@ class Suffixes:
 
         A range of one to two times `most` bytes is its first and its last `most`.
         """
-        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.most)
         out = np.ones(len(a), bool)
+        if not len(a):
+            return out  # the data may be shorter than `most`
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.most)
         for lo in range(0, len(a), 2048):
             part = slice(lo, lo + 2048)
             x, y, rest = a[part], b[part], length[part] - self.most

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from test_documents import removed, sets
 
 from spanloom.llm import minhash, suffix_dedup
@@ -74,3 +75,11 @@ def test_rows_without_ids_are_dealt_over_shards(spark):
     docs = spark.createDataFrame([(None, say(rng, 9)) for _ in range(200)], "doc_id long, text string")
     by = suffix_dedup.keyed(docs, 64).groupBy("shard").count().collect()
     assert len(by) > 40 and max(r["count"] for r in by) < 20
+
+
+@pytest.mark.parametrize("size", [337, 338, 350, 399, 400, 401])
+def test_one_short_periodic_text(size):
+    text = (b"spam " * 100)[:size]
+    part = np.frombuffer(text, np.uint8), np.array([0, size])
+    ((first, last),) = suffix_dedup.repeated_starts([part], [])
+    assert (suffix_dedup.K.covered(size, first, last + 400) == removed([text], 400)[0]).all()
