@@ -12,8 +12,9 @@ with more of the signature in common stand together, and only neighbours that lo
 alike enough are held against each other. Then only buckets that still hold more
 than one component are looked at: their members are dealt into tiles of bounded
 size, and a tile gives only pairs from different components, of set sizes that
-allow it, that pass the Bayesian test and then, by 32-bit hashes of their shingles
-(which can only make sets look more alike), reach the threshold. So every pair that
+allow it, that pass the Bayesian test and then, by 32-bit hashes of their shingles,
+may reach the threshold: a set's shared shingles can be more than its shared short
+hashes by as many as it has shingles more than short hashes, and so many are granted. So every pair that
 shares a band is either in one component already or has been tested.
 
 At similarity 0.85 a pair shares none of the BANDS bands of ROWS values with a
@@ -217,11 +218,12 @@ def _short_sets(batches):
 
 
 def _reaching(x: int, y: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which rows of y may reach the threshold with row x, by short hashes; one is granted for collisions."""
+    """Which rows of y may reach the threshold with row x, by short hashes; what either set lost to collisions is granted."""
     own, lengths = flat[at[x] : at[x + 1]], at[y + 1] - at[y]
     theirs = flat[K.spread(at[y], lengths)]
     hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
-    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths) + 1
+    lost = np.maximum(size[x] - len(own), size[y] - lengths)
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths) + np.maximum(lost, 0) + 1
     return y[100 * both >= percent * (size[x] + size[y] - both)]
 
 

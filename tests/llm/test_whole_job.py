@@ -83,3 +83,12 @@ def test_one_short_periodic_text(size):
     part = np.frombuffer(text, np.uint8), np.array([0, size])
     ((first, last),) = suffix_dedup.repeated_starts([part], [])
     assert (suffix_dedup.K.covered(size, first, last + 400) == removed([text], 400)[0]).all()
+
+
+def test_sets_that_lost_shingles_to_short_hashes_are_not_pruned():
+    # 850 shingles, all among the 1,000 of the other: just 0.85; five fall together as short hashes
+    own, more = np.arange(845, dtype=np.uint32), np.arange(995, dtype=np.uint32)
+    at = np.cumsum([0, len(own), len(more), 700])
+    flat = np.concatenate([own, more, np.arange(700, dtype=np.uint32)])
+    size = np.array([850, 1000, 700])
+    assert minhash._reaching(0, np.array([1, 2]), at, flat, size).tolist() == [1]
