@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import minhash, packing, quality, shared, suffix_dedup
 
-#: SQL can't express the classifier's fit, so tests hold each stage against a brute-force version.
+#: SQL can't express the classifier's fit, so tests hold the rows of each stage after it against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from test_documents import removed, sets
 
-from spanloom.llm import minhash, suffix_dedup
+from spanloom.llm import minhash, packing, shared, suffix_dedup
 
 
 def say(rng, n):
@@ -92,3 +94,40 @@ def test_sets_that_lost_shingles_to_short_hashes_are_not_pruned():
     flat = np.concatenate([own, more, np.arange(700, dtype=np.uint32)])
     size = np.array([850, 1000, 700])
     assert minhash._reaching(0, np.array([1, 2]), at, flat, size).tolist() == [1]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """The rows of each stage but the fitted classifier's, from its own input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    passage = say(rng, 100)
+    near = [t for _, t in near_rows()]
+    own = [*near, near[0] + " again", *(say(rng, 20) + " " + passage + " " + say(rng, k) for k in (0, 9, 60)), *(say(rng, rng.randint(1, 300)) for _ in range(20)), "", None]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(own)], columns)
+    stages, rows = dict(corpus_pipeline.STAGES), {i: t for i, t in enumerate(own)}
+
+    def step(name, frame):
+        return shared.kept(stages[name](spark, frame, str(tmp_path)), name)
+
+    docs = step("near_copies", docs)
+    rows = {i: rows[i] for i, c in near_components(rows.items(), 80).items() if i == c}
+    assert len(rows) == len(own) - 13
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(rows.items())
+
+    docs = step("repeated_passages", docs)
+    contents = [(t or "").encode() for t in rows.values()]
+    gone = removed(contents, 400)
+    assert sum(g.any() for g in gone) >= 3
+    rows = {i: np.frombuffer(t, np.uint8)[~g].tobytes().decode() for i, t, g in zip(rows, contents, gone, strict=True)}
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in docs.collect()) == Counter((i, t, len(t)) for i, t in rows.items())
+
+    got, want = step("packing", docs).collect(), Counter()
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in rows.items():
+        ids = [*tokens.encode(t, add_special_tokens=False).ids, 2]
+        for k, (a, n) in enumerate(packing.cuts(len(ids))):
+            want[i, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
