@@ -151,8 +151,11 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product.
 
-    Both frames have vec_id and v, as quantised() gives them.
+    Both frames have vec_id and v, as quantised() gives them. A query asks once: of query
+    rows that share an id, that with the smallest vector (compared by components). Candidates
+    that share an id are ranked each.
     """
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     counts = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
     blocks = max(1, -(-counts["n"] // BLOCK_ROWS))
     groups = max(1, -(-queries.count() // QUERIES_AT_ONCE))

@@ -139,12 +139,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fit(vectors: DataFrame, rows: int) -> Tree:
+def fit(vectors: DataFrame, rows: int, width: int) -> Tree:
     """A tree from at most FIT_ROWS rows, those of smallest hash; leaves are as many as the rows call for."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow()
-    x = matrix(sample["v"])
+    x = matrix(sample["v"], width)
     leaves = min(1024, max(1, rows // LEAF_ROWS))
-    return Tree(unit(x) if len(x) else np.zeros((0, 1)), max(4, len(x) // leaves))
+    return Tree(unit(x) if len(x) else np.zeros((0, max(1, width))), max(4, len(x) // leaves))
 
 
 def calibrate(vectors: DataFrame, queries: DataFrame, tree: Tree, width: int, k: int) -> int:
@@ -173,10 +173,15 @@ def calibrate(vectors: DataFrame, queries: DataFrame, tree: Tree, width: int, k:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest found. Both frames are as usable() gives them."""
+    """query_id, rank, vec_id, score: each query's k nearest found. Both frames are as usable() gives them.
+
+    A query asks once: of query rows that share an id, that with the smallest vector (compared by
+    components). Candidates that share an id are ranked each. Shorter vectors count as ending in zeros.
+    """
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     counts = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()
     n, width = counts["n"], counts["w"]
-    tree = fit(vectors, n)
+    tree = fit(vectors, n, width)
     visits = calibrate(vectors, queries, tree, width, k)
 
     def leaves(batches):

@@ -10,6 +10,9 @@ belong to one origin are put in order of their segment numbers, checked against
 the total length, and the chunked framing is taken off. Segments that are all in
 one archive are joined where they are read; only others are shuffled by origin.
 
+An archive has ARCHIVE_BYTES of records, and one more at most, so reading one takes
+bounded memory.
+
 Nulls: a null html is an empty payload; a null url leaves the target out; a page
 without an id is always a response, and nothing refers to it. Rows that repeat a
 page's id and payload are responses (or revisits) alike, one record each. Other
@@ -34,7 +37,7 @@ SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 #: Shorter payloads are never revisits.
 LEAST_BYTES = 100
-RECORDS_PER_FILE = 4000
+ARCHIVE_BYTES = 16 << 20
 #: A frequent payload's rows are dealt over so many join keys.
 SALTS = 16
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -163,7 +166,7 @@ def reassemble(segments: list[tuple[int, int | None, dict | None, bytes]]) -> li
     return [(by[1][0][2], block)] * copies
 
 
-def write(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -> None:
+def write(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES, most: int = ARCHIVE_BYTES) -> None:
     """Write every row of `pages` as records into gzip-compressed archives under `folder`."""
     rows = K.with_columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -173,16 +176,26 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -> None:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(firsts, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"))
 
+    def archive(out: list[bytes]) -> pa.RecordBatch:
+        # the writer's line end is the last byte
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary()).cast(pa.string())], ["value"])
+
     def run(batches):
+        out, size = [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                part, out = b.slice(lo, 200), []
+                part = b.slice(lo, 200)
                 for row in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
                     for r in records(row[0], row[1], row[2].encode(), row[3], row[4], segment):
-                        out.append(r[:-1])  # the writer's line end is the last byte
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
-
-    joined.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(folder)
+                        out.append(r)
+                        size += len(r)
+                        if size >= most:
+                            yield archive(out)
+                            out, size = [], 0
+        if out:
+            yield archive(out)
+
+    joined.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Search, archives and chat against brute force; and the pipeline."""
 
+import gzip
 import hashlib
 import random
 
@@ -32,6 +33,11 @@ def test_bitsliced(spark, vectors):
     for q in [*range(0, 300, 30)]:
         want = sorted(((-int(v @ whole[q]), i) for i, v in every if i != q))[:7]
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
+    twice = rows.where("vec_id in (0, 30)").unionByName(rows.where("vec_id = 0"))
+    again = {}
+    for r in bitsliced.search(rows, twice, 7).collect():
+        again.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in again.items()} == {q: sorted(got[q]) for q in (0, 30)}
     none = bitsliced.quantised(spark.createDataFrame([], VECTORS))
     assert bitsliced.search(none, none).count() == 0
 
@@ -62,10 +68,23 @@ def test_kmeans_tree(spark, vectors):
         scores = [x for _, _, x in sorted(got[q])]
         assert scores == sorted(scores, reverse=True) and q not in {i for _, i, _ in got[q]}
     assert hit >= 0.9 * 150
+    twice = rows.where("vec_id in (0, 30)").unionByName(rows.where("vec_id = 0"))
+    again = {}
+    for r in knn_tree.search(rows, twice, 5).collect():
+        again.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert all([k for k, _ in sorted(x)] == [1, 2, 3, 4, 5] and len({v for _, v in x}) == 5 for x in again.values())
     none = knn_tree.usable(spark.createDataFrame([], VECTORS))
     assert knn_tree.search(none, none).count() == 0
 
 
+def test_kmeans_tree_with_vectors_longer_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(knn_tree, "FIT_ROWS", 20)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4 if i % 50 else 9).tolist()) for i in range(200)]
+    frame = knn_tree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert knn_tree.search(frame, frame.where("vec_id % 50 = 0"), 5).count() == 20
+
+
 PAGES = "page_id long, url string, html string, digest string, first long"
 
 
@@ -88,6 +107,11 @@ def test_warc(spark, tmp_path):
         want.append((i, len(t), hashlib.sha256(t).hexdigest(), "revisit" if again else "response", first[t] if again else None))
     assert [tuple(r) for r in got] == sorted(want, key=lambda r: (r[0] or 0, r[3]))
     warc.write(pages.limit(0), str(tmp_path / "e"))
+    # archives are cut by bytes; segments of a page then lie in several
+    warc.write(pages, str(tmp_path / "s"), segment=20_000, most=30_000)
+    files = list((tmp_path / "s").glob("*.gz"))
+    assert len(files) >= 5 and max(len(gzip.decompress(f.read_bytes())) for f in files) < 60_000
+    assert sorted(warc.read(spark, str(tmp_path / "s")).collect(), key=lambda r: (r.page_id or 0, r.record_type)) == got
 
 
 def test_segments_are_put_in_order_and_checked():
