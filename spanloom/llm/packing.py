@@ -2,7 +2,7 @@
 
 A document is its token ids and an end id. One that is longer than a sequence is
 cut into whole sequences, after a first piece of what is left over. Pieces are
-dealt by hash into shards of bounded size; in each, longest first, a piece goes
+dealt by hash into shards of SHARD_BYTES of text; in each, longest first, a piece goes
 into that open bin for which the sum, over gap sizes, of squared counts of open
 bins with that gap becomes smallest. A new bin is opened only where no open one
 has room: letting the sum decide that too took 1.0 % more sequences on 51,260
@@ -12,7 +12,8 @@ sequences of their own.
 Only lengths and checksums are shuffled, not ids.
 
 Nulls: a null text is empty (its only token is the end id); a null document id
-stays null. Repeated rows are packed each. Other columns are ignored.
+stays null. Repeated rows are packed each, and dealt over the shards. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from .tokens import batch_encoder
 
 SEQUENCE = 1024
 END_ID = 2
-#: Bytes of the input's files for each packing shard.
-SHARD_BYTES = 64 << 20
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Text bytes for each packing shard; a smaller table is one shard, so that only one sequence is left part filled for want of pieces.
+SHARD_BYTES = 112 << 20
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, again int"
 
 
 def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -76,13 +77,15 @@ def pieces(documents: DataFrame, path: str, end_id: int = END_ID, most: int = SE
     def run(batches):
         encode = batch_encoder(path)
         for b in K.slices(batches, 2 << 20):
-            ids, out = b.column(0).to_pylist(), ([], [], [], [], [])
+            ids, out, seen = b.column(0).to_pylist(), ([], [], [], [], [], []), {}
             for doc_id, tokens in zip(ids, encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
                 raw = np.array([*tokens, end_id], "<u4").tobytes()
                 for k, (a, n) in enumerate(cuts(len(raw) // 4, most)):
-                    for c, v in zip(out, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])), strict=True):
+                    row = (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]))
+                    seen[row] = again = seen.get(row, -1) + 1
+                    for c, v in zip(out, (*row, again), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "again"])
 
     return K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
@@ -99,9 +102,9 @@ def place(cut: DataFrame, shards: int, most: int = SEQUENCE) -> DataFrame:
         out = t.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 36))).append_column("offset", pa.array(offsets))
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    return cut.repartition(shards, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(run, f"{_PIECES}, sequence_id long, offset long")
+    return cut.repartition(shards, F.xxhash64("doc_id", "piece", "ids_crc32", "again")).mapInArrow(run, f"{_PIECES}, sequence_id long, offset long").drop("again")
 
 
 def pack(documents: DataFrame, path: str, end_id: int = END_ID, most: int = SEQUENCE) -> DataFrame:
     """Every piece of every document, with its sequence and its place there."""
-    return place(pieces(documents, path, end_id, most), K.shard_count(documents, SHARD_BYTES, 8), most)
+    return place(pieces(documents, path, end_id, most), K.shard_count(K.with_columns(documents, "text"), SHARD_BYTES, 1), most)

@@ -14,6 +14,13 @@ def _unicode_to_byte() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _merges_are_ranks(model: dict) -> bool:
+    """Whether a merge comes before another just if its result has the smaller id."""
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ()))
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    return all(a < b for a, b in zip([-1, *made], made, strict=False))
+
+
 @lru_cache(maxsize=2)
 def batch_encoder(path: str):
     """A function from texts to id lists, without special tokens.
@@ -36,6 +43,8 @@ def batch_encoder(path: str):
     pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
     if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE" or spec.get("normalizer"):
         return slow
+    if any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")) or not _merges_are_ranks(model):
+        return slow
     import tiktoken
 
     back, special = _unicode_to_byte(), [x["content"] for x in spec.get("added_tokens", [])]
