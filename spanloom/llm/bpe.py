@@ -6,8 +6,12 @@ the word, so that each word of the corpus meets its copies in one place and is
 encoded once; its ids go back to every block that asked, where the documents'
 pre-token positions turn them into ids again. Only distinct words per block and
 one small number for each position are shuffled, never a row for each position.
+Texts are read twice, for words and for positions: writing positions down and shuffling
+them would take twice the disk. A block is known by a digest of what is in it, so a
+second reading that cuts blocks otherwise can't take another block's ids; it fails.
 
-Decoding joins the token-byte table, whose size is that of the vocabulary.
+Decoding joins the token-byte table, whose size is that of the vocabulary, so that it
+is held by each worker.
 
 Nulls: a null text is empty; a null document id stays null. An empty text has no
 ids. Repeated rows stay repeated. Other columns are ignored.
@@ -23,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zlib
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
 BLOCK_BYTES = 20 << 20
+#: Text bytes for each part of the words.
+PART_BYTES = 14 << 20
 DOCS_PER_ROW = 512
 _SPLIT = "block long, part int, kind int, blob binary"
 _IDS = "doc_id long, ids array<int>"
@@ -61,12 +66,29 @@ def token_byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(length) - length, length
 
 
-def decode_ids(ids: np.ndarray, path: str) -> bytes:
+@lru_cache(maxsize=2)
+def _names(path: str) -> list[str]:
+    return [str(i) for i in range(max(ranks(path).values(), default=-1) + 1)]
+
+
+def joined_bytes(ids: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, joined with the token-byte table: their bytes, and the offsets of the lists that start at `at`."""
     data, start, length = token_byte_table(path)
-    return data[K.spread(start[ids], length[ids])].tobytes()
+    size = length[ids]
+    return data[K.spread(start[ids], size)], np.concatenate([[0], np.cumsum(size)])[at]
+
+
+def _digest_of(rows: list[tuple[pa.Array, pa.Array]]) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for doc_ids, texts in rows:
+        data, off = K.text_bytes(texts)
+        for part in (doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), off, data):
+            h.update(np.ascontiguousarray(part).data)
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _split_block(rows: list[tuple[pa.Array, pa.Array]], block: int, parts: int, splitter) -> list[tuple]:
+def _split_block(rows: list[tuple[pa.Array, pa.Array]], parts: int, splitter) -> list[tuple]:
+    block = _digest_of(rows)
     number: dict[str, int] = {}
     ids, counts, seqs = [], [], []
     for doc_ids, texts in rows:
@@ -111,17 +133,16 @@ _SPLIT_KINDS = (["block", "part", "kind", "blob"], [pa.int64(), pa.int32(), pa.i
 
 def _splits(pattern: str, parts: int):
     def run(batches):
-        splitter, held, size, n = regex.compile(pattern), [], 0, 0
-        base = TaskContext.get().partitionId() << 24
+        splitter, held, size = regex.compile(pattern), [], 0
         for b in K.slices(batches, BLOCK_BYTES // 4):
             text = b.column(1)
             held.append((b.column(0), text))
             size += len(K.text_bytes(text)[0])
             if size >= BLOCK_BYTES:
-                yield _batch(_split_block(held, base + n, parts, splitter), *_SPLIT_KINDS)
-                held, size, n = [], 0, n + 1
+                yield _batch(_split_block(held, parts, splitter), *_SPLIT_KINDS)
+                held, size = [], 0
         if held:
-            yield _batch(_split_block(held, base + n, parts, splitter), *_SPLIT_KINDS)
+            yield _batch(_split_block(held, parts, splitter), *_SPLIT_KINDS)
 
     return run
 
@@ -180,6 +201,8 @@ def _joins(finish):
             head, body = _cut_blob(blobs[int(i)].as_py())
             doc_id, null, count = K.unsqueeze(head, np.int64, np.uint8, np.uint32)
             seq = K.unsqueeze(body, np.uint32)[0]
+            if len(seq) and (seq.max() >= n or not size[seq].all()):
+                raise ValueError("the documents weren't the same when read again; write them down first")
             own = flat[K.spread(start[seq], size[seq])]
             ends = np.concatenate([[0], np.cumsum(size[seq])])[np.cumsum(count, dtype=np.int64)]
             out.append(finish(pa.array(doc_id, mask=null.astype(bool)), own, np.concatenate([[0], ends])))
@@ -199,8 +222,9 @@ def encode(documents: DataFrame, path: str, pattern: str, finish=_as_ids, schema
     `finish` may turn a block's (document ids, ids end to end, offsets) into other
     columns, named by `schema`, where they are made.
     """
-    parts = K.shard_count(documents, 8 << 20)
-    rows = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_splits(pattern, parts), _SPLIT)
+    docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = K.shard_count(docs, PART_BYTES)
+    rows = docs.mapInArrow(_splits(pattern, parts), _SPLIT)
     answers = rows.where("kind = 0").repartition(parts, "part").mapInArrow(_encodes(path, pattern), _SPLIT)
     return rows.where("kind = 1").unionByName(answers).groupBy("block").applyInArrow(_joins(finish), schema)
 
@@ -210,8 +234,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(np.array(x, np.int64), path) if x is not None else b"" for x in ids.to_pylist()], pa.binary())], ["doc_id", "content"])
+            lists = b.column(1).to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists], dtype=np.int64)])
+            data, cut = joined_bytes(np.array([i for x in lists for i in x or ()], np.int64), at, path)
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "content"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
@@ -220,12 +247,9 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode, and give each document's count and digests of ids and decoded bytes."""
 
     def finish(doc_id, ids, at, empty=False):
-        data, start, length = token_byte_table(path)
-        names = [str(i) for i in range(len(start))]
-        get, plain, size, ends = names.__getitem__, ids.tolist(), length[ids], at.tolist()
-        decoded = data[K.spread(start[ids], size)]
-        cut = np.concatenate([[0], np.cumsum(size)])[at].tolist()
-        n = len(doc_id)
+        get, plain, ends = _names(path).__getitem__, ids.tolist(), at.tolist()
+        decoded, cut = joined_bytes(ids, at, path)
+        cut, n = cut.tolist(), len(doc_id)
         a = [hashlib.sha256(" ".join(map(get, plain[ends[i] : ends[i + 1]])).encode()).hexdigest() for i in range(n)]
         b = [hashlib.sha256(decoded[cut[i] : cut[i + 1]]).hexdigest() for i in range(n)]
         batch = pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at).astype(np.int64)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
