@@ -5,19 +5,25 @@ document with a smaller id.
 
 1. Windows are hashed where documents are read. Of equal windows in one block only
    the first document's goes on; the hash brings the windows of all blocks together,
-   and names for each the first document that holds it. This only routes: it says
-   which passages a shard of documents has to be searched for.
+   and names for each document the one before it, by id, that holds the window. This
+   only routes: it says which passages a shard of documents has to be searched for.
+   A passage that stands everywhere is so sent on by all who have it, not by the first.
 2. The named documents' shards send those passages to the shards that asked.
 3. Each shard builds an FM-index (a suffix array's BWT in a wavelet matrix) of the
    passages, and streams its documents through it: backward search over lanes of
    consecutive windows computes matching statistics, and a window counts where the
-   interval holds a smaller document's id.
+   interval holds a smaller document's id. Symbols stand for words: words with equal
+   hashes are compared byte by byte, and hashed anew if two differ.
 
 The block step leaves one row of a window for each block, so no frequent passage
-gathers in one task, and passages go once to each shard. Shards have a bounded size.
-
-Nulls: a null text has no words; a null id counts as larger than any. Rows with the
-same id aren't each other's source. Other columns are ignored.
+gathers in one task, and passages go once to each shard. Shards hold about SHARD_BYTES
+of text each, or one row if that is longer; a task needs some 60 bytes of memory for
+each byte of the longest row's text.
+
+Nulls: a null text has no words; a null id counts as larger than any, and so does an
+id from NULL_IDS on. Rows without an id are dealt over all shards by their text; rows
+with the same id share a shard and aren't each other's source. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +39,13 @@ from . import kernels as K
 
 WINDOW = 13
 BLOCK_BYTES = 6 << 20
-#: Bytes of the input's files for each shard of documents, and of windows.
-SHARD_BYTES = 4 << 20
+#: Text bytes for each shard of documents, and of windows.
+SHARD_BYTES = 7 << 20
 LANE = 32
 NO_ID = np.iinfo(np.int64).max
+#: Rows without an id are numbered from here on; they have no order.
+NULL_IDS = int(NO_ID) - (1 << 40)
+ID = "_fm_id"
 
 
 class RankBits:
@@ -99,32 +108,20 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class PassageIndex:
-    """An FM-index of passages (word hashes), with the document of each."""
+    """An FM-index of passages (codes of words, from 0 on), with the document of each. Searches take codes plus 2; 0 is no word."""
 
-    def __init__(self, words: np.ndarray, length: np.ndarray, source: np.ndarray):
-        self.vocabulary = np.unique(words)
-        symbols = np.searchsorted(self.vocabulary, words) + 2
+    def __init__(self, codes: np.ndarray, length: np.ndarray, source: np.ndarray):
         # 1 ends each passage, 0 ends the whole text
-        text = np.ones(len(words) + len(length) + 1, np.int64)
-        at = K.spread(np.cumsum(length + 1) - length - 1, length)
-        text[at] = symbols
+        text = np.ones(len(codes) + len(length) + 1, np.int64)
+        text[K.spread(np.cumsum(length + 1) - length - 1, length)] = codes + 2
         text[-1] = 0
-        self.size = len(self.vocabulary) + 2
+        self.size = int(text.max()) + 1
         order = suffix_order(text, WINDOW + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))])
         self.bwt = WaveletMatrix(text[order - 1], self.size)
         owner = np.append(np.repeat(source, length + 1), NO_ID)
         self.owner = np.append(owner[order], NO_ID)
         self.n = len(text)
-        inside = K.whole_grams(np.repeat(np.arange(len(length)), length), WINDOW)
-        self.windows = np.unique(K.gram_hashes(words, WINDOW)[inside])
-
-    def encode(self, words: np.ndarray) -> np.ndarray:
-        """Symbols of words; 0 for a word that no passage has."""
-        if not len(self.vocabulary):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == words, at + 2, 0)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.bwt.rank_pair(symbol, lo, hi)
@@ -189,15 +186,12 @@ class PassageIndex:
         return out
 
 
-def _ids(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.fill_null(int(NO_ID))).astype(np.int64)
+def _column(b, name: str):
+    return b.column(b.schema.get_field_index(name))
 
 
-def _word_arrays(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, off = K.text_bytes(texts)
-    start, end, row = K.words(data, off)
-    return data, start, end, row, K.word_hashes(data, start, end)
+def _order(ids: np.ndarray) -> np.ndarray:
+    return np.minimum(ids, NULL_IDS)
 
 
 _ROUTED = "part long, kind int, blob binary"
@@ -222,11 +216,28 @@ def _split_by(part: np.ndarray, parts: int):
     return ((p, order[bounds[p] : bounds[p + 1]]) for p in range(parts) if bounds[p] < bounds[p + 1])
 
 
+def _chains(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by hash, then id; the first of each hash in it; who has a smaller id with the same hash; and the last of those."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    several = ~(new & np.append(new[1:], True)) if len(h) else new
+    own = order[several]
+    order[several] = own[np.lexsort((ids[own], h[own]))]
+    rank = _order(ids[order])
+    other = new.copy()
+    other[1:] |= rank[1:] != rank[:-1]
+    at = np.arange(len(h))
+    first, least = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(other, at, 0))
+    later = np.flatnonzero(least > first)
+    return order, np.flatnonzero(new), later, least[later] - 1
+
+
 def _windows(shards: int, parts: int):
     def block(held: list[tuple]) -> pa.RecordBatch:
         ids = np.concatenate([h[0] for h in held])
         hashes, docs, places, base = [], [], [], 0
-        for own, word, row in (h for h in held):
+        for own, word, row in held:
             inside = K.whole_grams(row, WINDOW)
             at = np.flatnonzero(inside)
             first = np.searchsorted(row, np.arange(len(own)))
@@ -235,32 +246,27 @@ def _windows(shards: int, parts: int):
             places.append((at - first[row[at]]).astype(np.int64))
             base += len(own)
         h, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-        by_id = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[by_id] = np.arange(len(ids))
-        order = np.lexsort((rank[doc], h)) if len(h) else np.zeros(0, np.int64)
+        order, one, later, before = _chains(h, ids[doc])
         h, doc, place = h[order], doc[order], place[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-        later = np.flatnonzero(ids[doc] > ids[doc[first]])
         out = []
-        source, at, target = _asks(ids[doc[first[later]]], place[first[later]], K.shard_of(ids[doc[later]], shards))
+        source, at, target = _asks(ids[doc[before]], place[before], K.shard_of(ids[doc[later]], shards))
         for p, own in _split_by(K.shard_of(source, shards) % parts, parts):
             out.append((p, 1, K.squeeze(source[own], at[own].astype(np.uint32), target[own].astype(np.uint32))))
-        h, doc, place = h[new], doc[new], place[new]
-        table = K.squeeze(ids)
+        h, doc, place = h[one], doc[one], place[one]
         for p, own in _split_by((h >> K.U64(40)) % K.U64(parts), parts):
-            body = K.squeeze(np.diff(h[own], prepend=K.U64(0)), doc[own].astype(np.uint32), place[own].astype(np.uint32))
+            used, index = np.unique(ids[doc[own]], return_inverse=True)
+            table = K.squeeze(np.diff(used, prepend=0))
+            body = K.squeeze(np.diff(h[own], prepend=K.U64(0)), index.astype(np.uint32), place[own].astype(np.uint32))
             out.append((p, 0, len(table).to_bytes(4, "little") + table + body))
         return _rows(out)
 
     def run(batches):
         held, size = [], 0
         for b in K.slices(batches, 1 << 20):
-            _, start, _, row, word = _word_arrays(b.column(1))
-            held.append((_ids(b.column(0)), word, row))
-            size += len(K.text_bytes(b.column(1))[0])
+            data, off = K.text_bytes(_column(b, "text"))
+            start, end, row = K.words(data, off)
+            held.append((np.asarray(_column(b, ID)), K.word_hashes(data, start, end), row))
+            size += len(data)
             if size >= BLOCK_BYTES:
                 yield block(held)
                 held, size = [], 0
@@ -271,7 +277,7 @@ def _windows(shards: int, parts: int):
 
 
 def _firsts(shards: int):
-    """For each window the first document that holds it, asked for by the shards of the others."""
+    """For each window, who of those that hold it is asked by whose shard."""
 
     def run(batches):
         h, doc, place, asks = [], [], [], []
@@ -281,20 +287,16 @@ def _firsts(shards: int):
                     asks.append([x.astype(np.int64) for x in K.unsqueeze(blob, np.int64, np.uint32, np.uint32)])
                     continue
                 n = int.from_bytes(blob[:4], "little")
-                ids = K.unsqueeze(blob[4 : 4 + n], np.int64)[0]
+                ids = np.cumsum(K.unsqueeze(blob[4 : 4 + n], np.int64)[0])
                 d, i, p = K.unsqueeze(blob[4 + n :], np.uint64, np.uint32, np.uint32)
                 h.append(np.cumsum(d, dtype=np.uint64))
                 doc.append(ids[i])
                 place.append(p)
         if h:
             h, doc, place = np.concatenate(h), np.concatenate(doc), np.concatenate(place)
-            order = np.lexsort((doc, h))
-            h, doc, place = h[order], doc[order], place[order].astype(np.int64)
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = np.flatnonzero(doc > doc[first])
-            asks.append([doc[first[later]], place[first[later]], K.shard_of(doc[later], shards)])
+            order, _, later, before = _chains(h, doc)
+            doc, place = doc[order], place[order].astype(np.int64)
+            asks.append([doc[before], place[before], K.shard_of(doc[later], shards)])
         if asks:
             source, place, target = _asks(*(np.concatenate(c) for c in zip(*asks, strict=True)))
             out = [(p, 1, K.squeeze(source[own], place[own].astype(np.uint32), target[own].astype(np.uint32))) for p, own in _split_by(K.shard_of(source, shards), shards)]
@@ -313,23 +315,21 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         new[1:] = (source[1:] != source[:-1]) | (place[1:] > place[:-1] + WINDOW) | (target[1:] != target[:-1])
         lo, hi = K.runs(new)
         source, first, last, target = source[lo], place[lo], place[hi - 1] + WINDOW, target[lo]
-        ids = _ids(docs["doc_id"])
         parts: dict[int, list] = {}
         by = np.argsort(source, kind="stable")
         ordered = source[by]
-        seen: set[int] = set()
         for b in K.slices(docs.to_batches(), 1 << 20):
-            data, start, end, row, _ = _word_arrays(b.column(b.schema.get_field_index("text")))
-            raw, edge = data.tobytes(), np.searchsorted(row, np.arange(b.num_rows))
-            for k, doc in enumerate(_ids(b.column(b.schema.get_field_index("doc_id"))).tolist()):
-                a, z = np.searchsorted(ordered, [doc, doc + 1] if doc < NO_ID else [doc, doc])
-                if a == z or doc in seen:
-                    continue
-                seen.add(doc)
-                for r in by[a:z].tolist():
-                    x, y = edge[k] + first[r], edge[k] + last[r] - 1
-                    parts.setdefault(int(target[r]), []).append((doc, raw[start[x] : end[y]]))
-        del ids
+            data, off = K.text_bytes(_column(b, "text"))
+            start, end, row = K.words(data, off)
+            raw, edge, ids = data.tobytes(), np.searchsorted(row, np.arange(b.num_rows + 1)), np.asarray(_column(b, ID))
+            lo, hi = np.searchsorted(ordered, ids, side="left"), np.searchsorted(ordered, ids, side="right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                doc = int(ids[k])
+                for r in by[lo[k] : hi[k]].tolist():
+                    # of rows that share an id each sends what it has there; a window's words decide later
+                    x, y = edge[k] + first[r], min(edge[k] + last[r], edge[k + 1]) - 1
+                    if y >= x:
+                        parts.setdefault(int(target[r]), []).append((doc, raw[start[x] : end[y]]))
         for t, own in parts.items():
             text = b"".join(x for _, x in own)
             head = K.squeeze(np.array([d for d, _ in own], np.int64), np.array([len(x) for _, x in own], np.uint32))
@@ -337,8 +337,8 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out)])
 
 
-def passages(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, words of each passage, and the document of each."""
+def searchable(blobs: list[bytes]) -> tuple[K.Vocabulary, PassageIndex, np.ndarray]:
+    """The vocabulary and index of passages, and their windows' hashes."""
     docs, texts, lengths = [], [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
@@ -346,13 +346,18 @@ def passages(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         docs.append(d)
         lengths.append(length)
         texts.append(K.unsqueeze_bytes(blob[4 + n :]))
-    if not docs:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.concatenate([[0], np.cumsum(np.concatenate(lengths).astype(np.int64))])
     start, end, row = K.words(data, off)
-    return K.word_hashes(data, start, end), np.bincount(row, minlength=len(off) - 1), np.concatenate(docs)
+    seed = 0
+    while True:
+        try:
+            vocabulary = K.Vocabulary(data, start, end, seed)
+            break
+        except K.Collision:
+            seed += 1
+    windows = np.unique(K.gram_hashes(vocabulary.words, WINDOW)[K.whole_grams(row, WINDOW)])
+    return vocabulary, PassageIndex(vocabulary.codes, np.bincount(row, minlength=len(off) - 1), np.concatenate(docs)), windows
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -361,16 +366,21 @@ _RESULT_NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
 def _removes(docs: pa.Table, found: pa.Table) -> pa.Table:
     out = []
-    index = PassageIndex(*passages(found["blob"].to_pylist())) if found.num_rows else None
+    vocabulary, index, windows = searchable(found["blob"].to_pylist()) if found.num_rows else (None, None, None)
     for b in K.slices(docs.to_batches(), 1 << 20):
-        data, start, end, row, word = _word_arrays(b.column(b.schema.get_field_index("text")))
-        ids = _ids(b.column(b.schema.get_field_index("doc_id")))
+        data, off = K.text_bytes(_column(b, "text"))
+        start, end, row = K.words(data, off)
         n, count = b.num_rows, np.bincount(row, minlength=b.num_rows)
-        gone = np.zeros(len(word), bool)
+        gone = np.zeros(len(start), bool)
         if index is not None:
+            word = K.word_hashes(data, start, end, vocabulary.seed)
             at = np.flatnonzero(K.whole_grams(row, WINDOW))
-            at = at[np.isin(K.gram_hashes(word, WINDOW)[at], index.windows)]
-            at = at[index.earlier(index.encode(word), at, ids[row[at]])]
+            at = at[np.isin(K.gram_hashes(word, WINDOW)[at], windows)]
+            near = np.flatnonzero(K.covered(len(word), at, at + WINDOW))
+            symbols = np.zeros(len(word), np.int64)
+            code = vocabulary.encode(data, start[near], end[near], word[near])
+            symbols[near] = np.where(code < 0, 0, code + 2)
+            at = at[index.earlier(symbols, at, _order(np.asarray(_column(b, ID)))[row[at]])]
             gone = K.covered(len(word), at, at + WINDOW)
         kept = ~gone
         length = (end - start)[kept] + 1
@@ -379,15 +389,17 @@ def _removes(docs: pa.Table, found: pa.Table) -> pa.Table:
         text[np.cumsum(length) - 1] = 32
         digest = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         removed = np.bincount(row, gone, n).astype(np.int64)
-        out.append(pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(count.astype(np.int64)), pa.array(removed), pa.array(digest, pa.string())], _RESULT_NAMES))
+        out.append(pa.RecordBatch.from_arrays([_column(b, "doc_id"), pa.array(count.astype(np.int64)), pa.array(removed), pa.array(digest, pa.string())], _RESULT_NAMES))
     return pa.Table.from_batches(out) if out else pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())], _RESULT_NAMES)
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of `documents`."""
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = parts = K.shard_count(documents, SHARD_BYTES)
-    routed = docs.mapInArrow(_windows(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_firsts(shards), _ROUTED)
-    sharded = docs.withColumn("shard", K.shard_column(F.coalesce("doc_id", F.lit(int(NO_ID))), shards))
-    sent = sharded.groupBy("shard").cogroup(routed.groupBy(F.col("part").alias("shard"))).applyInArrow(_sends, _ROUTED)
-    return sharded.groupBy("shard").cogroup(sent.groupBy(F.col("part").alias("shard"))).applyInArrow(_removes, RESULT)
+    shards = parts = K.shard_count(docs, SHARD_BYTES)
+    unnamed = F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    named = docs.withColumn(ID, F.coalesce("doc_id", unnamed))
+    routed = named.select(ID, "text").mapInArrow(_windows(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_firsts(shards), _ROUTED)
+    sharded = named.withColumn("shard", K.shard_column(ID, shards)).groupBy("shard")
+    sent = sharded.cogroup(routed.groupBy(F.col("part").alias("shard"))).applyInArrow(_sends, _ROUTED)
+    return sharded.cogroup(sent.groupBy(F.col("part").alias("shard"))).applyInArrow(_removes, RESULT)

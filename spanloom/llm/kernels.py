@@ -18,9 +18,6 @@ U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_rng = np.random.Generator(np.random.PCG64(20240501))
-#: A random odd value for each byte, so that hashes don't rest on byte codes.
-_BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_AZ = np.arange(256, dtype=np.uint8)
@@ -52,13 +49,12 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches, most: int = 4 << 20, least_rows: int = 1):
-    """Cut record batches so that each part has about `most` text bytes (a row is never cut)."""
+def slices(batches, most: int = 4 << 20, least_rows: int = 1, column: int | None = None):
+    """Cut record batches so that each part has about `most` bytes of text, or of another column (a row is never cut)."""
     for b in batches:
         if not b.num_rows:
             continue
-        col = b.column(b.schema.get_field_index("text"))
-        _, off = text_bytes(col)
+        _, off = text_bytes(b.column(b.schema.get_field_index("text") if column is None else column))
         lo = 0
         while lo < b.num_rows:
             hi = max(lo + least_rows, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
@@ -78,18 +74,77 @@ def _powers_upto(log: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(_BASE, 1 << log), powers(_BASE_INV, 1 << log)
 
 
-class PrefixHash:
-    """Polynomial prefix hashes modulo 2**64 of a byte array; any range's hash in constant time."""
+#: Bytes that a gram of RangeHash has; no shorter range has a hash.
+GRAM = 16
 
-    def __init__(self, data: np.ndarray):
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros after the end) as one number, by position up to len(data) + 8."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+
+
+def _lowest(count: np.ndarray) -> np.ndarray:
+    """Masks of the lowest `count` bytes of a number, 0 to 8."""
+    return np.where(count >= 8, ~U64(0), (U64(1) << (np.minimum(count, 7).astype(np.uint64) * U64(8))) - U64(1))
+
+
+def same_ranges(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether `length` bytes are equal from a in one and from b in another array, both given by eights()."""
+    out = np.ones(len(a), bool)
+    live, k = np.flatnonzero(length > 0), 0
+    while len(live):
+        rest = length[live] - k
+        differ = x[a[live] + k] ^ y[b[live] + k]
+        if (rest < 8).any():
+            differ &= _lowest(rest)
+        equal = differ == 0
+        out[live[~equal]] = False
+        k += 8
+        live = live[equal & (rest > 8)]
+    return out
+
+
+class RangeHash:
+    """Hashes of byte ranges of an array, each in constant time.
+
+    Each gram of GRAM bytes is mixed to a number, and a range's hash is the polynomial
+    modulo 2**64 of its grams' numbers. Sums over single letters would lose most of their
+    bits on doubling patterns (Thue-Morse words); over grams, ranges of some hundred bytes
+    keep 30 at least, so equal hashes are to be verified where they decide. Another seed
+    gives other numbers.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
         up, self.inv = _powers_upto(max(12, n.bit_length()))
+        self.eights = np.ascontiguousarray(eights(data))
+        gram = self.eights[:n] * _ODD
+        gram ^= gram >> U64(32)
+        gram += self.eights[8 : n + 8] if n else gram
+        gram ^= U64(seed * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
+        self.gram = mix(gram)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * up[:n], out=self.sums[1:], dtype=np.uint64)
+        np.cumsum(self.gram * up[:n], out=self.sums[1:], dtype=np.uint64)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Equal byte ranges of any two arrays have equal values."""
-        return (self.sums[end] - self.sums[start]) * self.inv[start]
+        """Equal ranges, of GRAM bytes at least, of any two arrays have equal values."""
+        return (self.sums[end - (GRAM - 1)] - self.sums[start]) * self.inv[start]
+
+    def alike(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether ranges of this array are equal: by hashes, or by bytes if they are shorter than a gram."""
+        far = length >= GRAM
+        out = np.empty(len(a), bool)
+        x, y, n = a[far], b[far], length[far]
+        out[far] = self.ranges(x, x + n) == self.ranges(y, y + n)
+        near = ~far
+        if near.any():
+            out[near] = same_ranges(self.eights, a[near], self.eights, b[near], length[near])
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether ranges of this array are equal, byte by byte."""
+        return same_ranges(self.eights, a, self.eights, b, length)
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +166,47 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(PrefixHash(data).ranges(start, end) + (end - start).astype(np.uint64) * _ODD)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word: eight bytes at a time are mixed into what is before them, so no pattern of letters cancels out."""
+    size, source = end - start, eights(data)
+    h = mix(size.astype(np.uint64) * _ODD + U64(seed))
+    live, k = np.arange(len(start)), 0
+    while len(live):
+        rest = size[live] - k
+        h[live] = mix(h[live] ^ (source[start[live] + k] & _lowest(rest))) * _ODD + U64(k + 1)
+        k += 8
+        live = live[rest > 8]
+    return h
+
+
+class Collision(Exception):
+    """Two different strings had equal hashes."""
+
+
+class Vocabulary:
+    """The distinct words of a text, found by hash and told apart by their bytes."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0):
+        self.seed, self.source = seed, eights(data)
+        self.words = word_hashes(data, start, end, seed)
+        self.hashes, first, self.codes = np.unique(self.words, return_index=True, return_inverse=True)
+        self.start, self.length = start[first], (end - start)[first]
+        if not self._same(self.source, start, end - start, self.codes).all():
+            raise Collision
+
+    def _same(self, source: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return (length == self.length[code]) & same_ranges(source, start, self.source, self.start[code], np.minimum(length, self.length[code]))
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Codes of another text's words, given their hashes; -1 for a word that this text hasn't."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        some = np.flatnonzero(self.hashes[at] == words)
+        some = some[self._same(eights(data), start[some], (end - start)[some], at[some])]
+        out = np.full(len(words), -1)
+        out[some] = at[some]
+        return out
 
 
 def gram_hashes(word: np.ndarray, size: int) -> np.ndarray:
@@ -185,18 +279,10 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The size of what a frame reads: its files', or, where a source doesn't know, its texts'."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if size < 1 << 60:
-        return size
-    return int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-
-
-def shard_count(df: DataFrame, shard_bytes: int = 6 << 20, least: int = 64) -> int:
-    """Shards of a bounded size; the estimate is of compressed files, hence the small default."""
-    return max(least, -(-estimated_bytes(df) // shard_bytes))
+def shard_count(df: DataFrame, shard_bytes: int, least: int = 64) -> int:
+    """Shards that hold `shard_bytes` of text each, as counted: files may be compressed to any share of it."""
+    size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(least, -(-size // shard_bytes))
 
 
 def xxhash64(ids: np.ndarray) -> np.ndarray:

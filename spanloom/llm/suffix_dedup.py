@@ -1,33 +1,40 @@
 """Suffix-array dedup of byte strings: suffixes sorted by hash-compared mergesort.
 
-A byte is removed if a string of SPAN bytes that covers it also starts anywhere
+A byte is removed if a string of `span` bytes that covers it also starts anywhere
 else. All steps sample the same positions: those whose gram has the smallest hash
-of some STRIDE neighbours, so every string of SPAN bytes has one near its start,
+of some STRIDE neighbours, so every string of `span` bytes has one near its start,
 chosen by its own content.
 
 1. Where documents are read, two strings are hashed at each sampled position: the
-   core, which any repeated string that begins just before must hold, and the
-   tile, which spans all strings that start before the next sampled position. Of
-   equal ones in a block one goes on; the hash brings those of all blocks together.
-2. Where a core repeats but a tile doesn't, single strings are hashed and brought
-   together the same way; so are those of a repeated tile's first place, where more
-   places share a core than the tile. That is only near the ends of passages.
+   core, which any repeated string around it must hold, and the tile, which spans
+   all strings that start before the next sampled position. Of equal ones in a
+   block one goes on; the hash brings those of all blocks together.
+2. Where all cores repeat that a string must hold, but not its tile, the string is hashed by
+   itself and brought together the same way; so are strings of a repeated tile's first
+   place, where more places share each core than the tile. That is only near the ends
+   of passages.
 3. So each shard of documents learns which other passages repeat its own, and has
-   them sent.
+   them sent. Of equal strings each asks for the one before it, in the order of row
+   keys, so a passage that stands everywhere is sent on by all who have it.
 4. In its shard, a document's suffixes at sampled positions, and those of the
    passages, are sorted by mergesort. Two suffixes compare by their common
    extension, found by binary search over prefix polynomial hashes. Neighbours in
    the order extend to the right by their order's common prefixes, and to the left
-   by binary search again; matches are verified byte by byte.
+   by binary search again. The order and the matches are verified byte by byte; if
+   one of them doesn't hold, the shard is sorted again under other hashes.
 
-Hashes only route; step 4 decides. Since a block sends one row of equal strings, no
-frequent passage gathers in one task, and shards have a bounded size.
+Hashes route by 64 bits, and step 4 decides. Since a block sends one row of equal
+strings, no frequent passage gathers in one task; shards hold about SHARD_BYTES of
+text each, or one row if that is longer. A shard's task needs some 40 bytes of memory
+for each byte of the longest row's text.
 
 Rows are told apart by a hash of their id and text, so places found in one row never
-apply to a different text, and rows without an id are dealt over all shards.
+apply to a different text, and rows without an id are dealt over all shards. Rows
+that are equal in both share a key, and so a shard.
 
 Nulls: a null text is empty; a null id stays null. Repeated rows repeat each
-other. Other columns are ignored.
+other. An empty table gives no rows. Other columns are ignored by digests() and kept
+by remove(), whatever their names.
 """
 
 from __future__ import annotations
@@ -41,39 +48,60 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SPAN, GRAM, STRIDE = 400, 16, 64
+SPAN, STRIDE = 400, 64
+#: Bytes of a core at most.
+CORE_BYTES = 192
 BLOCK_BYTES = 6 << 20
-#: Bytes of the input's files for each shard.
-SHARD_BYTES = 2 << 20
+#: Text bytes for each shard of documents, and for each part of the routed hashes.
+SHARD_BYTES, PART_BYTES = 7 << 19, 14 << 20
 #: How many neighbours in suffix order are looked at, before strings are looked up one by one.
 NEIGHBOURS = 6
 #: Places repeated so often that it isn't known how often.
 MANY = np.iinfo(np.int64).max
-#: The column that tells rows apart: rows that share it have the same id and text.
-KEY = "_row_key"
-CORE, TILE, ONE, REPEATS, ASKS = range(5)
+#: Columns of this module's own: rows that share the key have the same id and text.
+KEY, SHARD = "_suffix_dedup_key", "_suffix_dedup_shard"
+CORE, TILE, ONE, REPEATS, ASKS, COUNTS = range(6)
 
 
 def _slide(x: np.ndarray, better, width: int) -> np.ndarray:
-    """Best of each `width` (a power of two) consecutive values."""
+    """Best of each `width` consecutive values."""
     step = 1
-    while step < width:
+    while 2 * step <= width and len(x):
         x = better(x[:-step], x[step:]) if len(x) > step else x[:0]
         step *= 2
-    return x
+    more = width - step
+    if not more:
+        return x
+    return better(x[:-more], x[more:]) if len(x) > more else x[:0]
 
 
-def sampled(prefix: K.PrefixHash, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lowest(hashes: K.RangeHash, at: np.ndarray, n: int) -> np.ndarray:
+    """The sampled position with the smallest gram of the STRIDE positions from each on.
+
+    It is sampled wherever that string stands, as are those from STRIDE - 1 on; others
+    nearer to a string's start may be sampled because of what stands before it.
+    """
+    bits = K.U64(n.bit_length())
+    key = np.full(n + STRIDE - 1, ~K.U64(0))
+    key[at] = (hashes.gram[at] >> bits) << bits | at.astype(np.uint64)
+    return np.minimum((_slide(key, np.minimum, STRIDE) & ((K.U64(1) << bits) - K.U64(1))).astype(np.int64), n - 1)
+
+
+def core_size(span: int) -> int:
+    return min(CORE_BYTES, span - STRIDE + 1)
+
+
+def sampled(hashes: K.RangeHash, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions and their rows: grams that are the smallest of STRIDE neighbours in one text."""
     n = int(off[-1])
-    if n < GRAM + STRIDE:
+    if n < K.GRAM + STRIDE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram = K.mix((prefix.sums[GRAM : n + 1] - prefix.sums[: n + 1 - GRAM]) * prefix.inv[: n + 1 - GRAM])
+    gram = hashes.gram[: n + 1 - K.GRAM]
     low = _slide(gram, np.minimum, STRIDE)
     # windows that reach into the next text count for nothing
     outside = np.zeros(len(low) + 1, np.int64)
     ends = off[1:-1]
-    np.add.at(outside, np.clip(ends - STRIDE - GRAM + 2, 0, len(low)), 1)
+    np.add.at(outside, np.clip(ends - STRIDE - K.GRAM + 2, 0, len(low)), 1)
     np.add.at(outside, np.clip(ends, 0, len(low)), -1)
     low = np.where(np.cumsum(outside[:-1]) > 0, K.U64(0), low)
     pad = np.zeros(STRIDE - 1, np.uint64)
@@ -81,16 +109,17 @@ def sampled(prefix: K.PrefixHash, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.searchsorted(off, at, side="right") - 1
 
 
-def cores_of(prefix: K.PrefixHash, off: np.ndarray, at: np.ndarray, row: np.ndarray, span: int = SPAN):
+def cores_of(hashes: K.RangeHash, off: np.ndarray, at: np.ndarray, row: np.ndarray, span: int):
     """(hash, row, place) of the cores at sampled positions that have room for one."""
-    fits = at + span - STRIDE + 1 <= off[1:][row]
+    size = core_size(span)
+    fits = at + size <= off[1:][row]
     at, row = at[fits], row[fits]
-    return K.mix(prefix.ranges(at, at + span - STRIDE + 1) + K.U64(CORE)), row, at - off[row]
+    return K.mix(hashes.ranges(at, at + size) + K.U64(CORE)), row, at - off[row]
 
 
-def cores_and_tiles(prefix: K.PrefixHash, off: np.ndarray, span: int = SPAN):
+def cores_and_tiles(hashes: K.RangeHash, off: np.ndarray, span: int):
     """Cores, and (hash, row, place, starts) of tiles, in texts of at least `span` bytes."""
-    at, row = sampled(prefix, off)
+    at, row = sampled(hashes, off)
     end = off[1:]
     long = np.flatnonzero(np.diff(off) >= span)
     first, owner = np.unique(np.concatenate([at, off[long]]), return_index=True)
@@ -99,16 +128,16 @@ def cores_and_tiles(prefix: K.PrefixHash, off: np.ndarray, span: int = SPAN):
     last = np.minimum(np.minimum(after, end[owner]), end[owner] - span + 1)
     some = last > first
     a, z, owner = first[some], last[some], owner[some]
-    tile = K.mix(prefix.ranges(a, z + span - 1) + (z - a).astype(np.uint64) * K.U64(8) + K.U64(TILE))
-    return cores_of(prefix, off, at, row, span), (tile, owner, a - off[owner], z - a)
+    tile = K.mix(hashes.ranges(a, z + span - 1) + (z - a).astype(np.uint64) * K.U64(8) + K.U64(TILE))
+    return cores_of(hashes, off, at, row, span), (tile, owner, a - off[owner], z - a)
 
 
 class Suffixes:
     """Sorting of suffixes of a byte array, each up to the end of its own piece."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, most: int = SPAN, back: int = STRIDE - 1):
+    def __init__(self, data: np.ndarray, off: np.ndarray, most: int = SPAN, back: int = STRIDE - 1, seed: int = 0):
         self.data, self.off, self.most, self.back = data, off, most, back
-        self.prefix = K.PrefixHash(data)
+        self.hashes = K.RangeHash(data, seed)
 
     def _extent(self, a, b, limit, forward: bool) -> np.ndarray:
         """Longest equal extension of positions a and b, up to `limit`, by binary search over hashes."""
@@ -119,10 +148,7 @@ class Suffixes:
                 return lo
             mid = (lo[open_] + hi[open_] + 1) >> 1
             x, y = a[open_], b[open_]
-            if forward:
-                same = self.prefix.ranges(x, x + mid) == self.prefix.ranges(y, y + mid)
-            else:
-                same = self.prefix.ranges(x - mid, x) == self.prefix.ranges(y - mid, y)
+            same = self.hashes.alike(x, y, mid) if forward else self.hashes.alike(x - mid, y - mid, mid)
             lo[open_] = np.where(same, mid, lo[open_])
             hi[open_] = np.where(same, hi[open_], mid - 1)
 
@@ -175,25 +201,11 @@ class Suffixes:
             order, width = new, width * 2
         return order
 
-    def same_bytes(self, a, b, length) -> np.ndarray:
-        """Verification: whether the bytes are equal, not just the hashes.
+    def verify(self, a, b, length) -> None:
+        if not self.hashes.same(a, b, length).all():
+            raise K.Collision
 
-        A range of one to two times `most` bytes is its first and its last `most`.
-        """
-        out = np.ones(len(a), bool)
-        if not len(a):
-            return out  # the data may be shorter than `most`
-        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.most)
-        for lo in range(0, len(a), 2048):
-            part = slice(lo, lo + 2048)
-            x, y, rest = a[part], b[part], length[part] - self.most
-            same = (rows[x] == rows[y]).all(1)
-            more = np.flatnonzero(same & (rest > 0))
-            same[more] = (rows[x[more] + rest[more]] == rows[y[more] + rest[more]]).all(1)
-            out[part] = same
-        return out
-
-    def repeats(self, at: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    def repeats(self, at: np.ndarray, group: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [first, last] of starts of strings of `span` bytes that also start elsewhere.
 
         `at` are positions in ascending order of `group`; a group shares a core. Near
@@ -214,6 +226,7 @@ class Suffixes:
         i = np.flatnonzero(group[:-1] == group[1:]) if n else np.zeros(0, np.int64)
         near = np.zeros(n, np.int64)
         near[i] = self.right(at[i], at[i + 1], (room[i], room[i + 1]))
+        self.verify(at[i], at[i + 1], near[i])  # so the order is the true one
         reach = near[i].copy()
         for step in range(1, NEIGHBOURS + 1):
             look = np.flatnonzero(open_[i] | open_[i + step])  # two that are settled have nothing to tell each other
@@ -221,9 +234,8 @@ class Suffixes:
             left = self.left(at[x], at[y], (behind[x], behind[y]))
             hit = np.flatnonzero(left + right >= span)
             x, y, left, right = x[hit], y[hit], left[hit], right[hit]
-            hit = np.flatnonzero(self.same_bytes(at[x] - left, at[y] - left, left + right))
-            left, right = left[hit], right[hit]
-            for k in (x[hit], y[hit]):
+            self.verify(at[x] - left, at[y] - left, left)
+            for k in (x, y):
                 first.append(at[k] - left)
                 last.append(at[k] + right - span)
                 open_[k[(left >= full_left[k]) & (right >= full_right[k])]] = False
@@ -255,7 +267,7 @@ class Suffixes:
         own = wanted[member]
         ask[K.spread(at[member[own]] - low[own], (low + high + 1)[own])] = True
         x = np.flatnonzero(mask)
-        h = self.prefix.ranges(x, x + span)
+        h = self.hashes.ranges(x, x + span)
         order = np.argsort(h, kind="stable")
         x, h = x[order], h[order]
         new = np.ones(len(x), bool)
@@ -264,8 +276,8 @@ class Suffixes:
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else x
         partner = np.where(new, np.minimum(np.arange(len(x)) + 1, len(x) - 1), first)
         found = np.flatnonzero(ask[x] & ~alone)
-        good = self.same_bytes(x[found], x[partner[found]], np.full(len(found), span))
-        return x[found[good]]
+        self.verify(x[found], x[partner[found]], np.full(len(found), span))
+        return x[found]
 
 
 _ROUTED = "part long, kind int, blob binary"
@@ -284,8 +296,8 @@ def _split_by(part: np.ndarray, parts: int):
 class Found:
     """Equal strings' consequences: places that repeat, and passages to be sent to those who repeat them."""
 
-    def __init__(self, shards: int):
-        self.shards, self.repeats, self.asks = shards, [], []
+    def __init__(self, shards: int, span: int):
+        self.shards, self.span, self.repeats, self.asks, self.counts = shards, span, [], [], []
 
     def tell(self, kind: int, doc, place, size, count, first) -> None:
         """Rows that repeat: in how many places (0 if not known), and whether this is the first."""
@@ -297,7 +309,7 @@ class Found:
         if kind != CORE:
             target = K.shard_of(doc, self.shards)
             away = K.shard_of(doc[partner], self.shards) != target
-            self.asks.append((doc[partner][away], place[partner][away], size[partner][away] + SPAN - 1, target[away]))
+            self.asks.append((doc[partner][away], place[partner][away], size[partner][away] + self.span - 1, target[away]))
 
     def rows(self, parts: int) -> list[tuple]:
         """As blobs by the shard that they go to, modulo `parts`."""
@@ -315,6 +327,10 @@ class Found:
             d, p, n, t = d[new], p[new], n[new], t[new]
             for part, own in _split_by(K.shard_of(d, self.shards) % parts, parts):
                 out.append((part, ASKS, K.squeeze(d[own], p[own].astype(np.uint32), n[own].astype(np.uint16), t[own].astype(np.uint32))))
+        if self.counts:
+            d, n = (np.concatenate(c) for c in zip(*self.counts, strict=True))
+            for part, own in _split_by(K.shard_of(d, self.shards) % parts, parts):
+                out.append((part, COUNTS, K.squeeze(d[own], n[own])))
         return out
 
     def take(self, kind: int, blob: bytes) -> None:
@@ -322,30 +338,43 @@ class Found:
         if kind == REPEATS:
             d, p, s, c, f = K.unsqueeze(blob, np.int64, np.uint32, np.uint8, np.uint32, np.uint8)
             self.repeats.append((d, p.astype(np.int64), s.astype(np.int64), c.astype(np.int64), f.astype(bool)))
+        elif kind == COUNTS:
+            self.counts.append(K.unsqueeze(blob, np.int64, np.int64))
         else:
             d, p, n, t = K.unsqueeze(blob, np.int64, np.uint32, np.uint16, np.uint32)
             self.asks.append((d, p.astype(np.int64), n.astype(np.int64), t.astype(np.int64)))
 
 
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From sorted hashes: first of each group, rows of groups of several, and a row that each of those repeats (as a place among them)."""
+def _groups(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From hashes: an order by hash, and by document where hashes are equal; first of each group in it; which are in groups of several.
+
+    The document decides who is next to whom, so that passages which follow each other
+    have the same neighbours, wherever their hashes went.
+    """
+    order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    again = np.flatnonzero(~(new & np.append(new[1:], True))) if len(h) else np.zeros(0, np.int64)
-    first = np.maximum.accumulate(np.where(new[again], np.arange(len(again)), 0))
-    return np.flatnonzero(new), again, np.where(new[again], np.arange(len(again)) + 1, first)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    several = ~(new & np.append(new[1:], True)) if len(h) else new
+    own = order[several]
+    order[several] = own[np.lexsort((doc[own], h[own]))]
+    return order, np.flatnonzero(new), np.flatnonzero(several)
+
+
+def _partners(one: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """For each of the places `again` of groups of several, its neighbour's index among them: the one before it, or after the first."""
+    k = np.arange(len(again))
+    return np.where(np.isin(again, one, assume_unique=True), k + 1, k - 1)
 
 
 def _ship(found: Found, kind: int, h, doc, place, size, parts: int) -> list[tuple]:
     """Resolve equal hashes of a block among themselves, and send on one of each, with its count."""
-    order = np.argsort(h, kind="stable")
+    order, one, again = _groups(h, doc)
     h, doc, place, size = h[order], doc[order], place[order], size[order]
-    one, again, partner = _groups(h)
     if len(again):
         if kind != ONE:
             none = np.zeros(len(again), np.int64)
             found.tell(kind, doc[again], place[again], size[again], none, none.astype(bool))
-        found.ask(kind, doc[again], place[again], size[again], partner)
+        found.ask(kind, doc[again], place[again], size[again], _partners(one, again))
     count = np.diff(np.append(one, len(h)))
     h, doc, place, size = h[one], doc[one], place[one], size[one]
     out = []
@@ -357,9 +386,9 @@ def _ship(found: Found, kind: int, h, doc, place, size, parts: int) -> list[tupl
     return out
 
 
-def _reads(shards: int, parts: int):
+def _reads(shards: int, parts: int, span: int):
     def block(held: list[tuple]) -> pa.RecordBatch:
-        found = Found(shards)
+        found = Found(shards, span)
         out = []
         for kind, own in ((CORE, [h[0] for h in held]), (TILE, [h[1] for h in held])):
             h, doc, place, size = (np.concatenate(c) for c in zip(*own, strict=True))
@@ -371,7 +400,7 @@ def _reads(shards: int, parts: int):
         for b in K.slices(batches, 1 << 20):
             data, off = K.text_bytes(b.column(1))
             ids = np.asarray(b.column(0))
-            (h, row, place), (h2, row2, place2, size2) = cores_and_tiles(K.PrefixHash(data), off)
+            (h, row, place), (h2, row2, place2, size2) = cores_and_tiles(K.RangeHash(data), off, span)
             held.append(((h, ids[row], place, np.ones(len(h), np.int64)), (h2, ids[row2], place2, size2)))
             total += len(data)
             if total >= BLOCK_BYTES:
@@ -383,14 +412,14 @@ def _reads(shards: int, parts: int):
     return run
 
 
-def _pairs(shards: int):
+def _pairs(shards: int, span: int):
     """Equal strings of all blocks. Gives repeats and asks by shard."""
 
     def run(batches):
-        found, rows = Found(shards), {CORE: [], TILE: [], ONE: []}
+        found, rows = Found(shards, span), {CORE: [], TILE: [], ONE: []}
         for b in batches:
             for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if kind in (REPEATS, ASKS):
+                if kind in (REPEATS, ASKS, COUNTS):
                     found.take(kind, blob)
                     continue
                 n = int.from_bytes(blob[:4], "little")
@@ -400,10 +429,9 @@ def _pairs(shards: int):
         for kind, own in rows.items():
             if own:
                 h, doc, place, size, count = (np.concatenate(c) for c in zip(*own, strict=True))
-                order = np.argsort(h, kind="stable")
+                order, one, again = _groups(h, doc)
                 doc, place, size = doc[order], place[order], size[order]
-                one, again, partner = _groups(h[order])
-                found.ask(kind, doc[again], place[again], size[again], partner)
+                found.ask(kind, doc[again], place[again], size[again], _partners(one, again))
                 if kind != ONE:
                     total = np.add.reduceat(count[order].astype(np.int64), one)
                     total = np.repeat(total, np.diff(np.append(one, len(h))))
@@ -421,11 +449,13 @@ def _column(b, name: str):
     return b.column(b.schema.get_field_index(name))
 
 
-def _singles(shards: int, parts: int):
-    """Strings whose core repeats but whose tile doesn't; asks of before are passed on."""
+def _singles(shards: int, parts: int, span: int, counting: bool):
+    """Strings whose cores repeat but whose tile doesn't; asks of before are passed on. And how many bytes repeated cores cover."""
+    size_of_core = core_size(span)
+    reach = span - size_of_core + 1  # a string's cores start before this
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        found, seen, out = Found(shards), Found(shards), []
+        found, seen, out = Found(shards, span), Found(shards, span), []
         for kind, blob in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True):
             (seen if kind == REPEATS else found).take(kind, blob)
         if seen.repeats and docs.num_rows:
@@ -440,27 +470,38 @@ def _singles(shards: int, parts: int):
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
                     continue
-                at = K.spread(lo[some], (hi - lo)[some])
-                row = np.repeat(some, (hi - lo)[some])
-                place, size, count, lead = p[at], s[at], c[at], f[at]
-                prefix = K.PrefixHash(data)
+                told_at, told_row = K.spread(lo[some], (hi - lo)[some]), np.repeat(some, (hi - lo)[some])
+                place, size, count, lead = off[told_row] + p[told_at], s[told_at], c[told_at], f[told_at]
+                hashes, n = K.RangeHash(data), len(data)
                 core = size == 0
-                first = np.maximum(place[core] - STRIDE + 1, 0)
-                last = np.minimum(place[core], np.diff(off)[row[core]] - SPAN)
-                good = last >= first
-                maybe = K.covered(len(data), (off[row[core]] + first)[good], (off[row[core]] + last + 1)[good])
-                sure = K.covered(len(data), off[row[~core]] + place[~core], off[row[~core]] + place[~core] + size[~core])
-                shared = np.full(len(data) + STRIDE - 1, -1)
-                np.maximum.at(shared, off[row[core]] + place[core], count[core])
-                shared[shared == 0] = MANY  # repeated in a number of places that isn't known here
-                tile = lead & ~core
-                y = K.spread(off[row[tile]] + place[tile], size[tile])
-                y = y[_slide(shared, np.maximum, STRIDE)[y] > np.repeat(count[tile], size[tile])]
-                x = maybe & ~sure
-                x[y] = True
-                x = np.flatnonzero(x)
+                if counting:
+                    covered = K.covered(n, place[core], place[core] + size_of_core)
+                    total = np.bincount(np.repeat(np.arange(len(ids)), np.diff(off)), covered, len(ids)).astype(np.int64)
+                    _, first = np.unique(ids, return_index=True)
+                    first = first[total[first] > 0]
+                    found.counts.append((ids[first], total[first]))
+                # in how many places each sampled position's core stands; positions between don't matter
+                shared = np.full(n + reach + STRIDE, MANY)
+                at, row = sampled(hashes, off)
+                shared[at[at + size_of_core <= off[1:][row]]] = 1
+                known = core & (count > 0)
+                shared[place[core]] = MANY  # repeated in a number of places that isn't known here
+                shared[place[known]] = count[known]
+                least = np.minimum(shared[_lowest(hashes, at, n)], _slide(shared, np.minimum, reach - STRIDE + 1)[STRIDE - 1 :][:n])
+                maybe = least > 1
+                begin = np.flatnonzero(np.diff(off) < span)  # texts, and ends of texts, too short for a string
+                maybe[K.spread(off[begin], np.diff(off)[begin])] = False
+                long = np.flatnonzero(np.diff(off) >= span)
+                maybe[K.spread(off[1:][long] - span + 1, np.full(len(long), span - 1))] = False
+                maybe &= np.repeat(np.isin(np.arange(len(ids)), told_row[core]), np.diff(off))
+                tile = ~core
+                maybe &= ~K.covered(n, place[tile], place[tile] + size[tile])
+                tile &= lead
+                y = K.spread(place[tile], size[tile])
+                maybe[y[least[y] > np.repeat(count[tile], size[tile])]] = True
+                x = np.flatnonzero(maybe)
                 r = np.searchsorted(off, x, side="right") - 1
-                held.append((K.mix(prefix.ranges(x, x + SPAN) + K.U64(ONE)), ids[r], x - off[r], np.ones(len(x), np.int64)))
+                held.append((K.mix(hashes.ranges(x, x + span) + K.U64(ONE)), ids[r], x - off[r], np.ones(len(x), np.int64)))
             if held:
                 h, doc, place, size = (np.concatenate(c) for c in zip(*held, strict=True))
                 out = _ship(found, ONE, h, doc, place, size, parts)
@@ -472,6 +513,9 @@ def _singles(shards: int, parts: int):
 def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     """Passages of a shard's documents for the shards that asked: one row each."""
     out: list[tuple] = []
+    if docs.num_rows:
+        shard = docs[SHARD][0].as_py()
+        out += [(shard, COUNTS, x) for x in wanted.filter(pa.compute.equal(wanted["kind"], COUNTS))["blob"].to_pylist()]
     wanted = wanted.filter(pa.compute.equal(wanted["kind"], ASKS))
     if wanted.num_rows and docs.num_rows:
         d, p, n, t = (np.concatenate(c).astype(np.int64) for c in zip(*(K.unsqueeze(x, np.int64, np.uint32, np.uint16, np.uint32) for x in wanted["blob"].to_pylist()), strict=True))
@@ -503,14 +547,14 @@ def _sends(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out)])
 
 
-def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[tuple[np.ndarray, np.ndarray]], span: int = SPAN) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each (bytes, offsets) of `texts`, ranges of starts of strings that also start elsewhere in it, in others or in the passages."""
     cores = []
     for data, off in [*texts, *passages]:
-        prefix = K.PrefixHash(data)
-        h, row, place = cores_of(prefix, off, *sampled(prefix, off))
+        hashes = K.RangeHash(data)
+        h, row, place = cores_of(hashes, off, *sampled(hashes, off), span)
         cores.append((h, row, place + off[row]))
-    every = np.sort(np.concatenate([c[0] for c in cores]))
+    every = np.sort(np.concatenate([c[0] for c in cores])) if cores else np.zeros(0, np.uint64)
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     # only what lies around repeated cores goes into the sorted text
     pieces, sizes, at, key, homes, total = [], [], [], [], [], 0
@@ -518,7 +562,7 @@ def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[t
         slot = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
         good = twice[slot] == h if len(twice) else np.zeros(len(h), bool)
         row, place, slot = row[good], place[good], slot[good]
-        lo, hi = np.maximum(place - STRIDE + 1, off[row]), np.minimum(place + SPAN, off[row + 1])
+        lo, hi = np.maximum(place - STRIDE + 1, off[row]), np.minimum(place + span, off[row + 1])
         new = np.ones(len(lo), bool)
         new[1:] = (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (row[1:] != row[:-1])
         a, z = K.runs(new)
@@ -534,20 +578,25 @@ def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[t
         total += int(size.sum())
     if not total:
         return [(np.zeros(0, np.int64),) * 2 for _ in texts]
-    size = np.concatenate(sizes)
+    size, data = np.concatenate(sizes), np.concatenate(pieces)
     off = np.concatenate([[0], np.cumsum(size)])
     at, key = np.concatenate(at), np.concatenate(key)
-    order = np.lexsort((at, key))
-    first, last = Suffixes(np.concatenate(pieces), off).repeats(at[order], key[order])
+    order, seed = np.lexsort((at, key)), 0
+    while True:
+        try:
+            first, last = Suffixes(data, off, span, seed=seed).repeats(at[order], key[order], span)
+            break
+        except K.Collision:
+            seed += 1
     home, shift = (np.concatenate(c) for c in zip(*homes, strict=True))
     piece = np.searchsorted(off, first, side="right") - 1
     return [(first[own] + shift[piece[own]], last[own] + shift[piece[own]]) for own in (np.flatnonzero(home[piece] == k) for k in range(len(texts)))]
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
 
 
-def _digest(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+def _digest(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray, passages: np.ndarray) -> pa.RecordBatch:
     n = b.num_rows
     row = np.repeat(np.arange(n), np.diff(off))
     begins = gone.copy()
@@ -556,10 +605,10 @@ def _digest(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Record
     cut = np.concatenate([[0], np.cumsum(np.bincount(row[~gone], minlength=n))]).tolist()
     digest = [hashlib.sha256(kept[a:z]).hexdigest() for a, z in zip(cut[:-1], cut[1:], strict=True)]
     cols = [np.diff(off), np.bincount(row, gone, n).astype(np.int64), np.bincount(row, begins, n).astype(np.int64)]
-    return pa.RecordBatch.from_arrays([_column(b, "doc_id"), *map(pa.array, cols), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.RecordBatch.from_arrays([_column(b, "doc_id"), *map(pa.array, cols), pa.array(digest, pa.string()), pa.array(passages)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
 
-def _kept_text(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+def _kept_text(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray, _passages: np.ndarray) -> pa.RecordBatch:
     """All columns, with what is left of each text; a character that lost some of its bytes goes whole."""
     lead = (data & 0xC0) != 0x80
     char = np.cumsum(lead) - 1
@@ -573,55 +622,72 @@ def _kept_text(b, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([text if f.name == "text" else c for f, c in zip(b.schema, b.columns, strict=True)], schema=pa.schema([pa.field("text", pa.string()) if f.name == "text" else f for f in b.schema]))
 
 
-def _removes(finish):
+def _removes(finish, span: int):
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
-        passages, lengths, texts, size = [], [], [], 0
-        blobs = sent["blob"].to_pylist()
-        for k, blob in enumerate(blobs):
+        passages, lengths, texts, size, counts = [], [], [], 0, {}
+        for kind, blob in zip(sent["kind"].to_pylist(), sent["blob"].to_pylist(), strict=True):
+            if kind == COUNTS:
+                counts |= dict(zip(*(x.tolist() for x in K.unsqueeze(blob, np.int64, np.int64)), strict=True))
+                continue
             n = int.from_bytes(blob[:4], "little")
             lengths.append(K.unsqueeze(blob[4 : 4 + n], np.uint32)[0].astype(np.int64))
             texts.append(K.unsqueeze_bytes(blob[4 + n :]))
             size += len(texts[-1])
-            if size > 1 << 20 or k == len(blobs) - 1:
-                passages.append((np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)))
+            if size > 1 << 20:
+                passages.append(_joined(texts, lengths))
                 lengths, texts, size = [], [], 0
-        own = [b for b in K.slices(docs.drop(["shard", KEY]).to_batches(), 1 << 20)]
+        if texts:
+            passages.append(_joined(texts, lengths))
+        own = list(K.slices(docs.to_batches(), 1 << 20))
         parts = [K.text_bytes(_column(b, "text")) for b in own]
-        out = [finish(b, data, off, K.covered(len(data), first, last + SPAN)) for b, (data, off), (first, last) in zip(own, parts, repeated_starts(parts, passages), strict=True)]
-        if out:
-            return pa.Table.from_batches(out)
-        empty = docs.drop(["shard", KEY]).slice(0, 0).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema=docs.drop(["shard", KEY]).schema)]
-        return pa.Table.from_batches([finish(empty[0], np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool))])
+        out = []
+        for b, (data, off), (first, last) in zip(own, parts, repeated_starts(parts, passages, span), strict=True):
+            told = np.array([counts.get(x, 0) for x in _column(b, KEY).to_pylist()], np.int64)
+            out.append(finish(b.drop_columns([SHARD, KEY]), data, off, K.covered(len(data), first, last + span), told))
+        if not out:
+            bare = docs.drop([SHARD, KEY]).schema
+            out = [finish(pa.RecordBatch.from_pylist([], schema=bare), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))]
+        return pa.Table.from_batches(out)
 
     return run
 
 
+def _joined(texts: list[bytes], lengths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+
+
 def keyed(documents: DataFrame, shards: int) -> DataFrame:
     """The documents with their row keys and shards."""
-    return documents.withColumn(KEY, F.xxhash64("doc_id", "text")).withColumn("shard", K.shard_column(KEY, shards))
+    return documents.withColumn(KEY, F.xxhash64("doc_id", "text")).withColumn(SHARD, K.shard_column(KEY, shards))
 
 
-def dedup(documents: DataFrame, finish=_digest, schema=RESULT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `documents`.
+def dedup(documents: DataFrame, span: int = SPAN, finish=_digest, schema=RESULT, counting: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes for every row of `documents`.
 
-    `documents` needs doc_id (long) and text (string); further columns reach `finish`,
-    which makes the result's columns from a batch and its mask of removed bytes.
+    `documents` needs doc_id and text (string); further columns reach `finish`, which
+    makes the result's columns from a batch, its mask of removed bytes, and, if `counting`,
+    n_passage_bytes: the bytes in repeated cores, that is in strings of core_size(span)
+    bytes, at positions sampled by content, that also stand elsewhere, by hash. Each
+    passage of core_size(span) + STRIDE - 1 bytes that repeats has at least one.
     """
-    shards, parts = K.shard_count(documents, SHARD_BYTES), K.shard_count(documents, 8 << 20)
+    # a count, and the fewest shards, as K.shard_count would give for both
+    shards = K.shard_count(documents, SHARD_BYTES)
+    parts = max(64, -(-shards * SHARD_BYTES // PART_BYTES))
     own = keyed(documents, shards)
-    routed = own.select(KEY, "text").mapInArrow(_reads(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards), _ROUTED)
-    text = own.groupBy("shard")
-    by_shard = lambda df: df.groupBy(F.col("part").alias("shard"))
-    singles = text.cogroup(by_shard(routed)).applyInArrow(_singles(shards, parts), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards), _ROUTED)
+    routed = own.select(KEY, "text").mapInArrow(_reads(shards, parts, span), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards, span), _ROUTED)
+    text = own.groupBy(SHARD)
+    by_shard = lambda df: df.groupBy(F.col("part").alias(SHARD))
+    singles = text.cogroup(by_shard(routed)).applyInArrow(_singles(shards, parts, span, counting), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards, span), _ROUTED)
     sent = text.cogroup(by_shard(singles)).applyInArrow(_sends, _ROUTED)
-    return text.cogroup(by_shard(sent)).applyInArrow(_removes(finish), schema)
+    return text.cogroup(by_shard(sent)).applyInArrow(_removes(finish, span), schema)
 
 
-def digests(documents: DataFrame) -> DataFrame:
+def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return dedup(docs)
+    return dedup(docs, span)
 
 
-def remove(documents: DataFrame) -> DataFrame:
+def remove(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents with their repeated bytes removed, in the same columns."""
-    return dedup(documents, _kept_text, documents.schema)
+    plain = documents.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(documents.columns)))
+    return dedup(plain, span, _kept_text, plain.schema, counting=False).toDF(*documents.columns)
