@@ -1,69 +1,5 @@
-"""A training corpus from documents: quality, near copies, repeated passages, packing.
+"""The training-corpus pipeline: its stages, SQL and run() are in spanloom.llm.pipeline."""
 
-Each stage is a function of (spark, docs, sf_dir); run() writes its rows as Parquet
-in the shared folder and reads them again for the next one. All but the last give
-the columns of documents.
-"""
+from spanloom.llm.pipeline import NEAR, ORACLE_SQL, PASSAGE, STAGES, cut_repeated_passages, keep_good, keep_one_of_near_copies, pack_sequences, run
 
-from __future__ import annotations
-
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from spanloom.llm import minhash, packing, quality, shared, suffix_dedup
-
-#: SQL can't express the classifier's fit, so tests hold the rows of each stage after it against a brute-force version.
-ORACLE_SQL = None
-
-
-#: Documents are near copies if their sets of five-word shingles have this similarity, in percent.
-NEAR = 80
-
-
-def _importable(spark: SparkSession) -> None:
-    """Let Python workers import this repository where it wasn't shipped to them."""
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if (root := str(Path(__file__).resolve().parent)) not in have.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{have}".rstrip(":")
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise-ranked quality score doesn't reject."""
-    _importable(spark)
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id."""
-    _importable(spark)
-    linked = minhash.link(docs, NEAR)
-    gone = linked.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that are repeated elsewhere; every document stays, if need be with an empty text."""
-    _importable(spark)
-    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
-    _importable(spark)
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [("quality", keep_good), ("near_copies", keep_one_of_near_copies), ("repeated_passages", cut_repeated_passages), ("packing", pack_sequences)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = shared.kept(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["NEAR", "ORACLE_SQL", "PASSAGE", "STAGES", "cut_repeated_passages", "keep_good", "keep_one_of_near_copies", "pack_sequences", "run"]
