@@ -133,12 +133,9 @@ class RangeHash:
 
     def alike(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether ranges of this array are equal: by hashes, or by bytes if they are shorter than a gram."""
-        far = length >= GRAM
-        out = np.empty(len(a), bool)
-        x, y, n = a[far], b[far], length[far]
-        out[far] = self.ranges(x, x + n) == self.ranges(y, y + n)
-        near = ~far
-        if near.any():
+        out = self.ranges(a, a + length) == self.ranges(b, b + length)
+        near = np.flatnonzero(length < GRAM)
+        if len(near):
             out[near] = same_ranges(self.eights, a[near], self.eights, b[near], length[near])
         return out
 

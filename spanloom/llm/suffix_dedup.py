@@ -109,9 +109,8 @@ def sampled(hashes: K.RangeHash, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.searchsorted(off, at, side="right") - 1
 
 
-def cores_of(hashes: K.RangeHash, off: np.ndarray, at: np.ndarray, row: np.ndarray, span: int):
-    """(hash, row, place) of the cores at sampled positions that have room for one."""
-    size = core_size(span)
+def cores_of(hashes: K.RangeHash, off: np.ndarray, at: np.ndarray, row: np.ndarray, size: int):
+    """(hash, row, place) of the cores of `size` bytes at sampled positions that have room for one."""
     fits = at + size <= off[1:][row]
     at, row = at[fits], row[fits]
     return K.mix(hashes.ranges(at, at + size) + K.U64(CORE)), row, at - off[row]
@@ -129,7 +128,7 @@ def cores_and_tiles(hashes: K.RangeHash, off: np.ndarray, span: int):
     some = last > first
     a, z, owner = first[some], last[some], owner[some]
     tile = K.mix(hashes.ranges(a, z + span - 1) + (z - a).astype(np.uint64) * K.U64(8) + K.U64(TILE))
-    return cores_of(hashes, off, at, row, span), (tile, owner, a - off[owner], z - a)
+    return cores_of(hashes, off, at, row, core_size(span)), (tile, owner, a - off[owner], z - a)
 
 
 class Suffixes:
@@ -449,7 +448,7 @@ def _column(b, name: str):
     return b.column(b.schema.get_field_index(name))
 
 
-def _singles(shards: int, parts: int, span: int, counting: bool):
+def _singles(shards: int, parts: int, span: int):
     """Strings whose cores repeat but whose tile doesn't; asks of before are passed on. And how many bytes repeated cores cover."""
     size_of_core = core_size(span)
     reach = span - size_of_core + 1  # a string's cores start before this
@@ -464,22 +463,22 @@ def _singles(shards: int, parts: int, span: int, counting: bool):
             d, p, s, c, f = d[order], p[order], s[order], c[order], f[order]
             held = []
             for b in K.slices(docs.to_batches(), 1 << 20):
-                data, off = K.text_bytes(_column(b, "text"))
                 ids = np.asarray(_column(b, KEY))
                 lo, hi = np.searchsorted(d, ids, side="left"), np.searchsorted(d, ids, side="right")
                 some = np.flatnonzero(hi > lo)
                 if not len(some):
                     continue
+                data, off = K.text_bytes(_column(b, "text").take(pa.array(some)))
+                ids, lo, hi, some = ids[some], lo[some], hi[some], np.arange(len(some))
                 told_at, told_row = K.spread(lo[some], (hi - lo)[some]), np.repeat(some, (hi - lo)[some])
                 place, size, count, lead = off[told_row] + p[told_at], s[told_at], c[told_at], f[told_at]
                 hashes, n = K.RangeHash(data), len(data)
                 core = size == 0
-                if counting:
-                    covered = K.covered(n, place[core], place[core] + size_of_core)
-                    total = np.bincount(np.repeat(np.arange(len(ids)), np.diff(off)), covered, len(ids)).astype(np.int64)
-                    _, first = np.unique(ids, return_index=True)
-                    first = first[total[first] > 0]
-                    found.counts.append((ids[first], total[first]))
+                covered = K.covered(n, place[core], place[core] + size_of_core)
+                total = np.bincount(np.repeat(np.arange(len(ids)), np.diff(off)), covered, len(ids)).astype(np.int64)
+                _, first = np.unique(ids, return_index=True)
+                first = first[total[first] > 0]
+                found.counts.append((ids[first], total[first]))
                 # in how many places each sampled position's core stands; positions between don't matter
                 shared = np.full(n + reach + STRIDE, MANY)
                 at, row = sampled(hashes, off)
@@ -552,7 +551,7 @@ def repeated_starts(texts: list[tuple[np.ndarray, np.ndarray]], passages: list[t
     cores = []
     for data, off in [*texts, *passages]:
         hashes = K.RangeHash(data)
-        h, row, place = cores_of(hashes, off, *sampled(hashes, off), span)
+        h, row, place = cores_of(hashes, off, *sampled(hashes, off), span - STRIDE + 1)
         cores.append((h, row, place + off[row]))
     every = np.sort(np.concatenate([c[0] for c in cores])) if cores else np.zeros(0, np.uint64)
     twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -639,11 +638,15 @@ def _removes(finish, span: int):
         if texts:
             passages.append(_joined(texts, lengths))
         own = list(K.slices(docs.to_batches(), 1 << 20))
-        parts = [K.text_bytes(_column(b, "text")) for b in own]
+        told = [np.array([counts.get(x, 0) for x in _column(b, KEY).to_pylist()], np.int64) for b in own]
+        # a row without a repeated core has no repeated string
+        parts = [K.text_bytes(_column(b, "text").take(pa.array(np.flatnonzero(n)))) for b, n in zip(own, told, strict=True)]
         out = []
-        for b, (data, off), (first, last) in zip(own, parts, repeated_starts(parts, passages, span), strict=True):
-            told = np.array([counts.get(x, 0) for x in _column(b, KEY).to_pylist()], np.int64)
-            out.append(finish(b.drop_columns([SHARD, KEY]), data, off, K.covered(len(data), first, last + span), told))
+        for b, n, (part, _), (first, last) in zip(own, told, parts, repeated_starts(parts, passages, span), strict=True):
+            data, off = K.text_bytes(_column(b, "text"))
+            gone, some = np.zeros(len(data), bool), np.flatnonzero(n)
+            gone[K.spread(off[some], np.diff(off)[some])] = K.covered(len(part), first, last + span)
+            out.append(finish(b.drop_columns([SHARD, KEY]), data, off, gone, n))
         if not out:
             bare = docs.drop([SHARD, KEY]).schema
             out = [finish(pa.RecordBatch.from_pylist([], schema=bare), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))]
@@ -661,12 +664,11 @@ def keyed(documents: DataFrame, shards: int) -> DataFrame:
     return documents.withColumn(KEY, F.xxhash64("doc_id", "text")).withColumn(SHARD, K.shard_column(KEY, shards))
 
 
-def dedup(documents: DataFrame, span: int = SPAN, finish=_digest, schema=RESULT, counting: bool = True) -> DataFrame:
+def dedup(documents: DataFrame, span: int = SPAN, finish=_digest, schema=RESULT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes for every row of `documents`.
 
     `documents` needs doc_id and text (string); further columns reach `finish`, which
-    makes the result's columns from a batch, its mask of removed bytes, and, if `counting`,
-    n_passage_bytes: the bytes in repeated cores, that is in strings of core_size(span)
+    makes the result's columns from a batch, its mask of removed bytes, and n_passage_bytes: the bytes in repeated cores, that is in strings of core_size(span)
     bytes, at positions sampled by content, that also stand elsewhere, by hash. Each
     passage of core_size(span) + STRIDE - 1 bytes that repeats has at least one.
     """
@@ -677,7 +679,7 @@ def dedup(documents: DataFrame, span: int = SPAN, finish=_digest, schema=RESULT,
     routed = own.select(KEY, "text").mapInArrow(_reads(shards, parts, span), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards, span), _ROUTED)
     text = own.groupBy(SHARD)
     by_shard = lambda df: df.groupBy(F.col("part").alias(SHARD))
-    singles = text.cogroup(by_shard(routed)).applyInArrow(_singles(shards, parts, span, counting), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards, span), _ROUTED)
+    singles = text.cogroup(by_shard(routed)).applyInArrow(_singles(shards, parts, span), _ROUTED).repartition(parts, "part").mapInArrow(_pairs(shards, span), _ROUTED)
     sent = text.cogroup(by_shard(singles)).applyInArrow(_sends, _ROUTED)
     return text.cogroup(by_shard(sent)).applyInArrow(_removes(finish, span), schema)
 
@@ -690,4 +692,4 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 def remove(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents with their repeated bytes removed, in the same columns."""
     plain = documents.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(documents.columns)))
-    return dedup(plain, span, _kept_text, plain.schema, counting=False).toDF(*documents.columns)
+    return dedup(plain, span, _kept_text, plain.schema).toDF(*documents.columns)
