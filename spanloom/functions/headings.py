@@ -75,7 +75,20 @@ def candidates(lines: Column) -> Column:
     return F.aggregate(likely, start, step, lambda z: z["out"])
 
 
+#: A line that isn't after a blank one is a heading only if it begins, or ends, like this, or has an underline.
+_MAY_BE = rf"\A{P.WS}*(?:#|[-=]|\p{{Nd}})|\?{P.WS}*\z"
+
+
 def _judge(x: Column, i: Column) -> Column:
+    here, before = x["here"], x["before"]
+    may_be = here.rlike(P.NOT_WS) & (before.isNull() | here.rlike(_MAY_BE) | blank(before) | F.coalesce(x["next"].rlike(_UNDERLINED), F.lit(False)))
+    return F.when(may_be, _judged(x, i))
+
+
+_UNDERLINED = rf"\A{P.WS}*(?:=+|-+){P.WS}*\z"
+
+
+def _judged(x: Column, i: Column) -> Column:
     here, before = x["here"], x["before"]
     rescued = before.isNotNull() & rstrip(here).endswith("?") & rstrip(before).rlike(P.SENTENCE_OR_COLON_END)
     found = F.coalesce(classify(here, x["next"], before.isNull() | blank(before)), F.when(rescued, classify(here, x["next"], F.lit(True))))
@@ -84,16 +97,16 @@ def _judge(x: Column, i: Column) -> Column:
     return let(found, entry)
 
 
-def _kept(lines: pd.Series, numbers: pd.Series, levels: pd.Series, titles: pd.Series) -> pd.Series:
+def _settled(facts: pd.Series) -> pd.Series:
     """Lines of the headings that stay. Each deletion changes what later headings see, in order, so this is a loop."""
-    return pd.Series([prune.keep(list(a), list(b), list(c), list(d)) for a, b, c, d in zip(lines, numbers, levels, titles, strict=True)])
+    return facts.map(lambda x: prune.settle(x.reshape(-1, prune.WIDTH).tolist()))
 
 
-def stay(lines: Column, found: Column) -> Column:
-    """Lines of the headings in `found` that aren't unlikely guesses.
+def stay(facts: Column) -> Column:
+    """Lines of the headings that aren't unlikely guesses, from what prune.facts() tells.
 
     Marked as non-deterministic so that the optimizer works it out once, in a
     projection of its own, rather than copy it into filters and lambdas.
     """
-    udf = F.pandas_udf(_kept, "array<int>").asNondeterministic()
-    return udf(lines, F.transform(found, lambda h: h["line"]), F.transform(found, lambda h: h["level"]), F.transform(found, lambda h: h["title"]))
+    udf = F.pandas_udf(_settled, "array<int>").asNondeterministic()
+    return udf(facts)

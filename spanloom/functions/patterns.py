@@ -33,6 +33,20 @@ NUMBERED = rf"(?s)\A((?:\p{{Nd}}+\.)*\p{{Nd}}+)\.?{WS}+([A-Z].{{0,80}})\z"
 NUMERIC = r"\A[\p{Nd}.,:%/()+*†±<>=-]*\p{Nd}[\p{Nd}.,:%/()+*†±<>=-]*\z"
 EXACT_NUMBER = r"\p{Nd}[.,%]|%"
 SENTENCE_OR_COLON_END = r"[.!?:][)\]\"'”’]*\z"
+TABLE_CELL = rf"\A\(?{WS}*[nN]{WS}*=|\A[%†‡*§]+\z|\A[\p{{Nd}}.,%()+\-−–{_WS}]+\z"
+FINISHED = rf"[.!?][)\]\"'”’]*(?:{WS}|\z)"
+LOWER_WORD = r"\A[a-z][a-z'’-]*[.,;:!?)]*\z"
+CODE = r"[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]"
+_IN_WORD = r"[\p{L}\p{N}_]"
+OFFICE = (
+    rf"(?iu)(?<!{_IN_WORD})\p{{Nd}}{{5}}(?:-\p{{Nd}}{{4}})?(?!{_IN_WORD})"
+    rf"|License Number|Revised:|Reference ID|\ASee \p{{Nd}}+ for(?!{_IN_WORD})"
+    rf"|(?<!{_IN_WORD})\p{{Nd}}{{3}}\)?[-. ]\p{{Nd}}{{3}}[-. ]\p{{Nd}}{{4}}(?!{_IN_WORD})"
+    rf"|(?<!{_IN_WORD})(?:Drive|Street|Avenue|Road|Boulevard|Suite)\z"
+    rf"|{WS}(?:and|or|for|the|of|to|with)\z"
+)
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "in", "of", "on", "or", "the", "to", "with")
+PARAGRAPH_LINES = 6
 
 # flags
 BULLET = rf"\A(?:[•▪◦*-]|o{WS}|\p{{Nd}}+[.)]{WS}|[a-z][.)]{WS}|#)"

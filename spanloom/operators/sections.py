@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions.headings import candidates, stay
+from ..functions.prune import facts
 from ..functions.text import blank, let
 
 _ENTRY = "struct<level:int,title:string,numbered:boolean>"
@@ -63,9 +64,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Documents with `lines`, and with `placed`: the headings that stay, in their tree."""
     out = docs.withColumn("lines", raw_lines(F.col("text")))
     out = out.withColumn("found", candidates(F.transform("lines", lambda x: x["text"])))
-    # only documents with headings have their lines looked at in Python
     bare = F.transform("lines", lambda x: F.regexp_replace(x["text"], r"[\r\n]+\z", ""))
-    out = out.withColumn("stay", stay(F.when(F.size("found") > 0, bare).otherwise(F.array().cast("array<string>")), F.col("found")))
+    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~blank(F.get("lines", i)["text"]))
+    # only headings' facts, as numbers, go to Python
+    seen = F.when(F.size("found") > 0, let(F.struct(bare.alias("lines"), filled.alias("filled"), F.col("found").alias("found")), lambda x: facts(x["lines"], x["filled"], x["found"])))
+    # a condition that always holds, but that the optimizer can't move: lambdas this deep aren't found again in a Python function's argument
+    here = F.monotonically_increasing_id() >= 0
+    out = out.withColumn("told", F.when(here, F.coalesce(seen, F.array().cast("array<int>")))).withColumn("stay", stay(F.col("told"))).drop("told")
     out = out.withColumn("found", F.filter("found", lambda h: F.array_contains("stay", h["line"])))
     return out.withColumn("placed", nested(F.col("lines"), F.col("found"))).drop("stay", "found")
 
