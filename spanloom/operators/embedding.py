@@ -38,19 +38,9 @@ def hashed_words(text: Column) -> Column:
 def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, bucket, tf: how many of a text's words fall into each bucket.
 
-    Counted within the row, so nothing is shuffled: the distinct buckets of a text
-    are few, whatever its length.
+    Counts are added up before they are shuffled, so at most P.BUCKETS rows of a text move.
     """
-    out = rows.select(*keys, F.array_sort(hashed_words(F.col(text))).alias("h"))
-    shape = "array<struct<bucket:int,tf:bigint>>"
-    one = lambda x, n: F.struct(x.alias("bucket"), n.cast("bigint").alias("tf"))
-
-    def step(z: Column, x: Column) -> Column:
-        last = F.try_element_at(z, F.lit(-1))
-        same = F.coalesce(last["bucket"] == x, F.lit(False))
-        return F.when(same, F.array_append(F.slice(z, F.lit(1), F.size(z) - 1), one(x, last["tf"] + 1))).otherwise(F.array_append(z, one(x, F.lit(1))))
-
-    return out.select(*keys, F.explode(F.aggregate("h", F.array().cast(shape), step)).alias("c")).select(*keys, "c.bucket", "c.tf")
+    return rows.select(*keys, F.explode(hashed_words(F.col(text))).alias("bucket")).groupBy(*keys, "bucket").agg(F.count("*").alias("tf"))
 
 
 class HashedBag:

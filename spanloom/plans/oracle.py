@@ -191,6 +191,38 @@ filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY li
 edges AS (SELECT * FROM filled WHERE up <= 3 OR down <= 3),
 running AS (SELECT e.doc_id, e.key, count(DISTINCT e.page_no) AS pages FROM edges e JOIN (SELECT doc_id, count(*) AS total FROM pages_ GROUP BY 1) t USING (doc_id) WHERE total >= 3 GROUP BY e.doc_id, e.key, total HAVING count(DISTINCT e.page_no) >= greatest(3, total // 4))"""
 
+STRIPPED = (
+    "gone AS (SELECT e.doc_id, e.page_no, e.line_no FROM edges e JOIN running r USING (doc_id, key) WHERE key <> '')",
+    f"stripped AS (SELECT p.doc_id, p.page_no, coalesce(string_agg(l.line, {NL} ORDER BY l.line_no), '') AS text FROM pages_ p LEFT JOIN (SELECT * FROM page_lines ANTI JOIN gone USING (doc_id, page_no, line_no)) l USING (doc_id, page_no) GROUP BY ALL)",
+)
+
+
+def rejoined(src: str) -> tuple[str, str]:
+    """Parts, and the statement, that rejoin words split at line ends in src(doc_id, text)."""
+    return (
+        f"""p AS (SELECT doc_id, string_split_regex(text, {q(P.HYPHEN_SPLIT)}) AS b, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 1) AS l, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 2) AS r,
+  list_distinct(regexp_extract_all(lower(regexp_replace(text, {q(P.HYPHEN_SPLIT)}, ' ', 'g')), '[a-z]+')) AS known, lower(replace(text, '-' || {NL}, '-')) AS flat FROM {src}),
+m AS (SELECT doc_id, i, l[i] AS a, r[i] AS z, known, flat, lower(l[i] || '-' || r[i]) AS form FROM p, unnest(range(1, len(l) + 1)) x(i)),
+joined_ AS (SELECT doc_id, i, CASE WHEN NOT (regexp_matches(a || z, '\\A\\p{{L}}+\\z') AND a = lower(a) AND z = lower(z)) OR (length(flat) - length(replace(flat, form, ''))) / length(form) > 1
+  OR (NOT list_contains(known, lower(a || z)) AND list_contains(known, lower(a)) AND list_contains(known, lower(z))) THEN a || '-' || z ELSE a || z END AS word FROM m)""",
+        f"""SELECT p.doc_id, string_agg(p.b[x.i] || coalesce(f.word, ''), '' ORDER BY x.i) AS text FROM p, unnest(range(1, len(p.b) + 1)) x(i) LEFT JOIN joined_ f ON f.doc_id = p.doc_id AND f.i = x.i GROUP BY p.doc_id""",
+    )
+
+
+def inferred(src: str) -> tuple[str, str]:
+    """Parts, and the statement, that break paragraphs in src(doc_id, text)."""
+    return (
+        f"""l AS (SELECT doc_id, i, s[i] AS t, {rstrip('s[i]')} AS s, coalesce({strip('s[i + 1]')}, '') AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS s FROM {src}), unnest(range(1, len(s) + 1)) x(i)),
+o AS (SELECT doc_id, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(t)) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM l WHERE {has('t', P.NOT_WS)}),
+j AS (SELECT doc_id, c, n, r, least(greatest(8 * (c + 1) // 10, 1), c - 1) AS j FROM o),
+f AS (SELECT doc_id, any_value(c) AS c, (max(n) FILTER (WHERE r = j) * (10 - (8 * (any_value(c) + 1) - 10 * any_value(j))) + max(n) FILTER (WHERE r = j + 1) * (8 * (any_value(c) + 1) - 10 * any_value(j))) / 10 AS full_ FROM j GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS k FROM l GROUP BY 1)""",
+        f"""SELECT l.doc_id, string_agg(CASE WHEN f.c >= 10 AND (g.k - f.c) / g.k <= 0.05 AND s <> '' AND n <> '' AND ((length(s) < 0.75 * full_ AND (regexp_matches(s, '([.!?:]|\\."|\\.”)\\z') OR (length(s) BETWEEN 1 AND 59 AND NOT regexp_matches(s, '[.,;]\\z') AND regexp_matches(n, '\\A\\p{{Lu}}'))))
+  OR (regexp_matches(s, '([.!?:]|\\."|\\.”)\\z') AND length(n) BETWEEN 1 AND 59 AND regexp_matches(n, '\\A\\p{{Lu}}') AND NOT regexp_matches(n, '[.,;:!?]\\z'))) THEN t || {NL} ELSE t END, {NL} ORDER BY i) AS text
+FROM l JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) GROUP BY l.doc_id""",
+    )
+
+
 ORACLE: dict[str, str] = {
     "chunk_fixed": sql(PLAIN, fixed("plain"), 'SELECT doc_id, chunk_index, start, "end", text FROM fixed'),
     "chunk_fixed_small": sql(PLAIN, fixed("plain", 100, 20), 'SELECT doc_id, chunk_index, start, "end", text FROM fixed'),
@@ -228,32 +260,23 @@ ORACLE: dict[str, str] = {
   CASE WHEN doc_id % 5 = 3 THEN 'not a .txt, .md or .pdf file' WHEN {strip('text')} = '' THEN 'no text in this file' END AS error FROM plain""",
     ),
     "running_line_keys": sql(PAGES, "SELECT doc_id, key, pages FROM running WHERE key <> ''"),
-    "strip_running_lines": sql(
+    "strip_running_lines": sql(PAGES, *STRIPPED, "SELECT * FROM stripped"),
+    "rejoin_hyphens": "WITH " + ",\n".join((f"t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z])([tne]) ([a-z])', '\\1\\2-' || {NL} || '\\3', 'g') AS text FROM documents)", rejoined("t")[0])) + "\n" + rejoined("t")[1],
+    "infer_paragraphs": "WITH " + "\n".join(inferred("documents")),
+    "pages_to_documents": sql(
         PAGES,
-        f"""gone AS (SELECT e.doc_id, e.page_no, e.line_no FROM edges e JOIN running r USING (doc_id, key) WHERE key <> '')""",
-        f"""SELECT p.doc_id, p.page_no, coalesce(string_agg(l.line, {NL} ORDER BY l.line_no), '') AS text FROM pages_ p LEFT JOIN (SELECT * FROM page_lines ANTI JOIN gone USING (doc_id, page_no, line_no)) l USING (doc_id, page_no) GROUP BY ALL""",
+        *STRIPPED,
+        f"""books AS (SELECT doc_id, coalesce(string_agg({strip('text')}, {NL} || {NL} ORDER BY page_no) FILTER (WHERE {strip('text')} <> ''), '') AS text FROM stripped GROUP BY doc_id)""",
+        rejoined("books")[0],
+        f"whole AS ({rejoined('books')[1]})",
+        *inferred("whole"),
     ),
-    "rejoin_hyphens": f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z])([tne]) ([a-z])', '\\1\\2-' || {NL} || '\\3', 'g') AS text FROM documents),
-p AS (SELECT doc_id, string_split_regex(text, {q(P.HYPHEN_SPLIT)}) AS b, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 1) AS l, regexp_extract_all(text, {q(P.HYPHEN_SPLIT)}, 2) AS r,
-  list_distinct(regexp_extract_all(lower(regexp_replace(text, {q(P.HYPHEN_SPLIT)}, ' ', 'g')), '[a-z]+')) AS known, lower(replace(text, '-' || {NL}, '-')) AS flat FROM t),
-m AS (SELECT doc_id, i, l[i] AS a, r[i] AS z, known, flat, lower(l[i] || '-' || r[i]) AS form FROM p, unnest(range(1, len(l) + 1)) x(i)),
-f AS (SELECT doc_id, i, CASE WHEN NOT (regexp_matches(a || z, '\\A\\p{{L}}+\\z') AND a = lower(a) AND z = lower(z)) OR (length(flat) - length(replace(flat, form, ''))) / length(form) > 1
-  OR (NOT list_contains(known, lower(a || z)) AND list_contains(known, lower(a)) AND list_contains(known, lower(z))) THEN a || '-' || z ELSE a || z END AS word FROM m)
-SELECT p.doc_id, string_agg(p.b[x.i] || coalesce(f.word, ''), '' ORDER BY x.i) AS text FROM p, unnest(range(1, len(p.b) + 1)) x(i) LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = x.i GROUP BY p.doc_id""",
-    "infer_paragraphs": f"""WITH l AS (SELECT doc_id, i, s[i] AS t, {rstrip('s[i]')} AS s, coalesce({strip('s[i + 1]')}, '') AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS s FROM documents), unnest(range(1, len(s) + 1)) x(i)),
-o AS (SELECT doc_id, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(t)) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM l WHERE {has('t', P.NOT_WS)}),
-j AS (SELECT doc_id, c, n, r, least(greatest(8 * (c + 1) // 10, 1), c - 1) AS j FROM o),
-f AS (SELECT doc_id, any_value(c) AS c, (max(n) FILTER (WHERE r = j) * (10 - (8 * (any_value(c) + 1) - 10 * any_value(j))) + max(n) FILTER (WHERE r = j + 1) * (8 * (any_value(c) + 1) - 10 * any_value(j))) / 10 AS full_ FROM j GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS k FROM l GROUP BY 1)
-SELECT l.doc_id, string_agg(CASE WHEN f.c >= 10 AND (g.k - f.c) / g.k <= 0.05 AND s <> '' AND n <> '' AND ((length(s) < 0.75 * full_ AND (regexp_matches(s, '([.!?:]|\\."|\\.”)\\z') OR (length(s) BETWEEN 1 AND 59 AND NOT regexp_matches(s, '[.,;]\\z') AND regexp_matches(n, '\\A\\p{{Lu}}'))))
-  OR (regexp_matches(s, '([.!?:]|\\."|\\.”)\\z') AND length(n) BETWEEN 1 AND 59 AND regexp_matches(n, '\\A\\p{{Lu}}') AND NOT regexp_matches(n, '[.,;:!?]\\z'))) THEN t || {NL} ELSE t END, {NL} ORDER BY i) AS text
-FROM l JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) GROUP BY l.doc_id""",
     "hash_embed_tf": sql(
         PLAIN,
         fixed("plain"),
-        "said AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM fixed WHERE chunk_index = 0)",
+        "said AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM fixed)",
         f"codes AS (SELECT w, {_CRC} AS bucket FROM (SELECT DISTINCT w FROM said))",
-        "SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, count(*) AS tf FROM said JOIN codes USING (w) GROUP BY ALL",
+        "SELECT doc_id, chunk_index, CAST(bucket AS INTEGER) AS bucket, count(*) AS tf FROM said JOIN codes USING (w) GROUP BY ALL",
     ),
     "token_counts_truncated": sql(SPACED, paragraph_chunks("spaced", 1200), f"SELECT doc_id, chunk_index, CAST(len({find('text', P.NOT_WS + '+')}) AS INTEGER) AS tokens, len({find('text', P.NOT_WS + '+')}) > 256 AS truncated FROM paragraph"),
     "embed_cache_misses": sql(PLAIN, "SELECT DISTINCT 'hashed' AS model, sha256(text) AS digest FROM plain WHERE text NOT IN (SELECT text FROM plain WHERE doc_id % 2 = 0)"),
@@ -262,7 +285,7 @@ FROM l JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) GROUP BY l.doc_id""",
     "topk_fixed": sql(PLAIN, fixed("plain"), questions("plain"), "named AS (SELECT doc_id, 'fixed' AS strategy, chunk_index, start, \"end\", text FROM fixed)", ranked("named"), "SELECT * EXCLUDE (strategy) FROM hits"),
     "topk_all": sql(*HITS, "SELECT * FROM hits"),
     "topk_dense": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.label, v.vec_id, round_even(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(list_zip(v.v, q.v), lambda p: p[1] * p[2])), lambda z, x: z + x), 4) AS score FROM v, v q WHERE q.vec_id < 10)
+s AS (SELECT q.vec_id AS query_id, v.label, v.vec_id, round_even(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(list_zip(v.v, q.v), lambda p: p[1] * p[2])), lambda z, x: z + x), 4) AS score FROM v, v q WHERE q.vec_id % 50 = 0)
 SELECT query_id, label, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "overlap_pairs": sql(*HITS, f'SELECT a.question_id, a.doc_id, a.strategy, a.rank, b.strategy AS other_strategy, b.start AS other_start, b."end" AS other_end, round_even({RATIO}, 4) AS ratio FROM hits a JOIN hits b USING (question_id, doc_id) WHERE a.strategy < b.strategy AND {SHARED} > 0'),
     "same_passage_matches": sql(*HITS, MATCHES, "SELECT * FROM matches"),
@@ -399,3 +422,28 @@ ORACLE |= {
   FROM lasts_ h JOIN chunks c USING (doc_id, strategy, chunk_index) JOIN headed d ON d.doc_id = h.doc_id LEFT JOIN numbers_ n ON n.question_id = h.question_id AND n.doc_id = h.doc_id AND n.strategy = h.strategy AND n.rank = h.rank""",
     ),
 }
+
+_LONE = f"(regexp_matches(s, '\\A\\p{{Lu}}') AND length(s) <= 70)"
+
+
+def _data(ws: str) -> str:
+    """Whether words are a table row's: two or more numbers, or one that is exact."""
+    numbers = f"list_filter({ws}, lambda w: regexp_matches(w, {q(P.NUMERIC)}))"
+    return f"(len({numbers}) >= 2 OR len(list_filter({numbers}, lambda w: regexp_matches(w, {q(P.EXACT_NUMBER)}))) > 0)"
+
+
+#: A line that would be a heading by itself, between blank lines.
+_LIKE_A_HEADING = f"""(length(s) BETWEEN 1 AND 100 AND ({has('s', P.MARKDOWN)} OR {has('s', P.DASHED)}
+  OR ({has('s', P.NUMBERED)} AND NOT regexp_matches(s, '[.,;:]\\z') AND len(ws) <= 12 AND NOT {_data('ws[2:]')})
+  OR (upper(s) = s AND len(ws) <= 8 AND len(regexp_extract_all(s, '\\p{{L}}')) >= 3 AND NOT regexp_matches(s, '[.,;]\\z') AND NOT {_data('ws')})
+  OR ({_LONE} AND s LIKE '%?') OR ({_LONE} AND len(ws) <= 9 AND NOT regexp_matches(s, '[.,;:!?]\\z') AND NOT regexp_matches(s, '\\A[-*•\\p{{Nd}}]') AND NOT {_data('ws')})))"""
+ORACLE |= {
+    "fragment_headings": sql(
+        *_SMALL,
+        FRAGMENTS,
+        f"""said_ AS (SELECT f.question_id, f.doc_id, f.strategy, f.start, {strip('substr(d.text, f.start + 1, f."end" - f.start)')} AS s FROM fragments f JOIN headed d USING (doc_id))""",
+        "at_ AS (SELECT s.*, t.path FROM said_ s ASOF LEFT JOIN (SELECT doc_id, pos_, path FROM tree) t ON s.doc_id = t.doc_id AND s.start >= t.pos_)",
+        f"titled AS (SELECT *, {strip(f'regexp_replace(s, {q(chr(92) + "A#{1,6}" + P.WS + "+")}, ' + chr(39) * 2 + ')')} AS title, {find('s', P.NOT_WS + '+')} AS ws FROM at_)",
+        f"SELECT question_id, doc_id, strategy, start, CASE WHEN NOT contains(s, {NL}) AND (starts_with(s, '#') OR coalesce(list_contains(path, title), false) OR {_LIKE_A_HEADING}) THEN title END AS heading FROM titled",
+    ),
+}

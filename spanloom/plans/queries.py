@@ -149,7 +149,7 @@ def pages_to_documents(spark, d):
 
 @query
 def hash_embed_tf(spark, d):
-    return embedding.term_counts(chunkers.fixed(C.plain(spark, d)).where("chunk_index = 0"), ["doc_id"])
+    return embedding.term_counts(chunkers.fixed(C.plain(spark, d)), ["doc_id", "chunk_index"])
 
 
 @query
@@ -211,10 +211,15 @@ def topk_all(spark, d):
 
 @query
 def topk_dense(spark, d):
-    """The five best of each label for the first ten vectors."""
+    """The five best of each label for every fiftieth vector, in blocks of rows and queries that meet once each."""
     rows = C.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    asked = F.broadcast(rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    scored = rows.crossJoin(asked).withColumn("score", F.bround(retrieval.cosine(F.col("v"), F.col("q")), 4))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks, groups = max(8, -(-rows.count() // 8192)), max(1, -(-asked.count() // 256))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("block", number("vec_id", blocks)).withColumn("part", every(groups))
+    right = asked.withColumn("part", number("query_id", groups)).withColumn("block", every(blocks))
+    scored = left.join(right, ["block", "part"]).withColumn("score", F.bround(retrieval.cosine(F.col("v"), F.col("q")), 4))
     return retrieval.top_k(scored, 5, ("query_id", "label"), "vec_id").select("query_id", "label", "rank", "vec_id", "score")
 
 
@@ -352,24 +357,25 @@ def answer_set_filter(spark, d):
 # --- flags
 
 
-def _spans(spark, d) -> DataFrame:
-    docs = C.spaced(spark, d)
-    return docs.select("doc_id", "text", F.explode(S.fixed(F.col("text"), 300, 50)).alias("s")).select("doc_id", "text", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+def _spans(spark, d, name: str, told) -> DataFrame:
+    """doc_id, start, end of spans, and what told(text, start, end) says of each; texts stay in their rows."""
+    rows = F.transform(S.fixed(F.col("text"), 300, 50), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), told(F.col("text"), s["start"], s["end"]).alias(name)))
+    return C.spaced(spark, d).select("doc_id", F.inline(rows))
 
 
 @query
 def flag_starts_mid(spark, d):
-    return _spans(spark, d).select("doc_id", "start", T.starts_mid_sentence(F.col("text"), F.col("start")).alias("flag"))
+    return _spans(spark, d, "flag", lambda text, start, end: T.starts_mid_sentence(text, start)).select("doc_id", "start", "flag")
 
 
 @query
 def flag_ends_mid(spark, d):
-    return _spans(spark, d).select("doc_id", "end", T.ends_mid_sentence(F.col("text"), F.col("end")).alias("flag"))
+    return _spans(spark, d, "flag", lambda text, start, end: T.ends_mid_sentence(text, end)).select("doc_id", "end", "flag")
 
 
 @query
 def flag_short(spark, d):
-    return _spans(spark, d).select("doc_id", "start", (F.col("end") - F.col("start") < P.SHORT_CHARS).alias("flag"))
+    return _spans(spark, d, "flag", lambda text, start, end: end - start < P.SHORT_CHARS).select("doc_id", "start", "flag")
 
 
 @query
@@ -380,7 +386,7 @@ def flag_unlabeled_numbers(spark, d):
 
 @query
 def chunk_flags(spark, d):
-    return _spans(spark, d).select("doc_id", "start", F.array_join(T.chunk_flags(F.col("text"), F.col("start"), F.col("end")), "|").alias("flags"))
+    return _spans(spark, d, "flags", T.chunk_flags).select("doc_id", "start", F.array_join("flags", "|").alias("flags"))
 
 
 # --- store and generation

@@ -69,7 +69,8 @@ def load(files: DataFrame, pdf_pages: Callable[[DataFrame], DataFrame] | None =
 
         once = papers.dropDuplicates(["digest"]).select(F.col("digest").alias("name"), "content")
         texts = pages_to_documents(pdf_pages(once).withColumnRenamed("name", "doc_id")).select(F.col("doc_id").alias("digest"), F.col("text").alias("raw"))
-        out = out.unionByName(papers.select("name", "digest").join(texts, "digest").select("name", F.lit("pdf").alias("kind"), F.lit(False).alias("big"), "raw"))
+        # a file of which the reader gives no page has no text
+        out = out.unionByName(papers.select("name", "digest").join(texts, "digest", "left").select("name", F.lit("pdf").alias("kind"), F.lit(False).alias("big"), F.coalesce("raw", F.lit("")).alias("raw")))
     text = normalize(F.col("raw"))
     error = (
         F.when(F.col("big"), "too large")
