@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +44,24 @@ def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).withColumn("text", F.concat(F.array_join(lines, "\n"), F.lit("\n")))
 
 
+#: Openings with headings that only layout tells, and lines that look like some. Each ends in two lines of prose.
+OPENINGS = (
+    "Field Manual\n\nThis is some prose here. It goes on.\n\nPLACEBO\n\nMore prose stands here. It ends.\n\nSAFETY RULES\n\nKeep the stove dry. It may rust.\n\nSetting Up\n\nFirst Steps\n\nOpen the legs first. Then wait.\n\nAnd so it goes on.\n",
+    "Some prose is here. It ends.\n\nTABLE OF RESULTS\n\n(N = 12)\n\n45%\n\nMill Road\n\nSee 4 for doses and\n\nReal Subheading\n\nThis prose follows it. It ends.\n\nThere is one more line.\n",
+    "A closing sentence stands here.\nHow should I store it?\n\nKeep it in a dry place. Do not freeze it.\n\nWhat else is there?\n\nNothing else is there. It ends.\n\nThat is all of it.\n",
+    "Plain Title\n===========\n\nThe text is set out here. It ends.\n\n2.1 Doses\n-\nTake one a day. Then rest.\n\nData\n\nAnimal Data\n\nRats were given some. They lived.\n\nThat is all of it.\n",
+    "3 Harm\n\nText is here now. It ends.\n\nGRH0434v1\n\nNotes\n\n3.1 Trials\n\nThe trials went well. They ended.\n\nRevised: 08/2025\n\nPatient Information\n\nACME (ak-me)\n(widget)\n\nthe end of it all.\n",
+    "one line goes on\n\nWidget Parts\n\nplain words without an end\n\nTrailhead 2 Tent\n\nPlacebo 8 8 2 5\n\nIt is done now.\n\nClosing Words\n\nYou can use the following items in any order:\n\nthese and those.\n",
+)
+
+
+def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in one paragraph, each after one of the openings in turn."""
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), F.pmod("doc_id", F.lit(len(OPENINGS))).cast("int"))
+    body = F.regexp_replace(F.col("text"), f"{P.WS}+", " ")
+    return _texts(spark, sf_dir).withColumn("text", F.concat(opening, F.lit("\nBody of "), body, F.lit(" ends.\n")))
+
+
 def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with carriage returns, tabs, trailing blanks and runs of blank lines."""
     return _texts(spark, sf_dir).withColumn("text", F.concat(F.lit("\t"), F.replace("text", F.lit("\n"), F.lit(" \xa0 \r\n\r\n\r\n\n")), F.lit("\r \n")))

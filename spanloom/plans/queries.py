@@ -74,6 +74,12 @@ def section_tree(spark, d):
     return rows.select("doc_id", "section_no", F.array_join("path", " > ").alias("path"), "header_start", "header_end", first["start"].alias("body_start"), F.try_element_at("body", F.lit(-1))["end"].alias("body_end"))
 
 
+@query
+def guessed_headings(spark, d):
+    """Sections of texts whose headings only layout tells."""
+    return sections.sections(C.guessed(spark, d)).select("doc_id", "section_no", "header_start", F.array_join("path", " > ").alias("path"))
+
+
 @query
 def chunk_section(spark, d):
     return chunkers.section(C.headed(spark, d)).select("doc_id", "chunk_index", "start", "end", "text", joined("headers", " > ").alias("path"))
