@@ -1,11 +1,16 @@
 """The optional generation step: prompts, a pluggable model, and a checked comparison.
 
+A call that fails doesn't end the job: its row says why.
+
 The model is a function of a prompt. Without one, a stub answers with the first
 sentence of the passages, so that pipelines run without a network.
 """
 
 from __future__ import annotations
 
+import importlib.util
+import json
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,3 +74,63 @@ def checked(compared: DataFrame) -> DataFrame:
     out = compared.withColumn("c", parse_comparison(F.col("json")))
     quotes = F.struct(*(real_quotes(F.col(f"c.quotes.{s}"), F.col(s)).alias(s) for s in P.STRATEGIES))
     return out.select(*BY, "c.agree", "c.summary", "c.differences", quotes.alias("quotes"), F.when(F.col("c").isNull(), "not a comparison").alias("error"))
+
+
+class ModelError(Exception):
+    """A model's failure, with the HTTP status that stands for it."""
+
+    def __init__(self, message: str, status: int = 502):
+        super().__init__(message)
+        self.status = status
+
+
+#: What kinds of failure are told as, in order; a ModelError tells its own.
+FAILURES = ((PermissionError, 403), (ConnectionError, 503), (TimeoutError, 503), (ImportError, 503))
+
+
+def failure(e: Exception) -> tuple[int, str]:
+    """Status and message of a failed call."""
+    if isinstance(e, ModelError):
+        return e.status, str(e)
+    return next((status for kind, status in FAILURES if isinstance(e, kind)), 502), f"{type(e).__name__}: {e}"
+
+
+def status(package: str, keys: tuple[str, ...], model: str) -> dict:
+    """Whether a model's client can be used here: its package, and a key among environment variables."""
+    return {"installed": importlib.util.find_spec(package) is not None, "has_key": any(os.environ.get(k) for k in keys), "model": model}
+
+
+def stub_comparison(question: str, given: dict[str, str]) -> dict:
+    """Answers agree if they are equal; each one's first words are quoted, and some that it doesn't have."""
+    same = len(set(given.values())) == 1
+    quotes = {s: [t[:20], "invented"] for s, t in given.items()}
+    return {"text": json.dumps({"agree": same, "summary": "equal" if same else "different", "differences": [], "quotes": quotes})}
+
+
+def comparisons(given: DataFrame, model: Callable[[str, dict], dict] = stub_comparison) -> DataFrame:
+    """Each comparable question's answers compared by one call: agree, summary, differences, quotes, status, error.
+
+    `given` has answers, and may have `question`. The model gets the question and the answers by
+    strategy, and gives text (JSON), refused and truncated. Status is 200, or that of the failure.
+    """
+    rows = comparable(given)
+    asked = given.groupBy(*BY).agg(F.max("question").alias("question")) if "question" in given.columns else rows.select(*BY, F.lit("").alias("question"))
+
+    @F.pandas_udf("struct<json:string,status:int,error:string>")
+    def call(questions: pd.Series, fixed: pd.Series, paragraph: pd.Series, section: pd.Series) -> pd.DataFrame:
+        out = []
+        for question, *texts in zip(questions, fixed, paragraph, section, strict=True):
+            try:
+                said = model(question, dict(zip(P.STRATEGIES, texts, strict=True)))
+                if said.get("refused"):
+                    raise ModelError("the model declined to compare these answers")
+                if said.get("truncated"):
+                    raise ModelError("the comparison was cut off before it finished")
+                out.append((said["text"], 200, None))
+            except Exception as e:  # told in the row
+                out.append((None, *failure(e)))
+        return pd.DataFrame(out, columns=["json", "status", "error"])
+
+    called = rows.join(asked, list(BY)).withColumn("said", call("question", *P.STRATEGIES)).select(*BY, *P.STRATEGIES, "said.json", "said.status", F.col("said.error").alias("failed"))
+    out = checked(called).join(called.select(*BY, "status", "failed"), list(BY))
+    return out.select(*BY, "agree", "summary", "differences", "quotes", F.when(F.col("failed").isNull() & F.col("error").isNotNull(), 502).otherwise(F.col("status")).alias("status"), F.coalesce("failed", "error").alias("error"))

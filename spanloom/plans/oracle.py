@@ -463,3 +463,10 @@ _GUESSED_ROWS = ", ".join(
 )
 ORACLE["guessed_headings"] = f"""SELECT d.doc_id, CAST(g.section_no AS INTEGER) AS section_no, CAST(g.header_start AS INTEGER) AS header_start, g.path
 FROM documents d JOIN (VALUES {_GUESSED_ROWS}) g(k, section_no, header_start, path) ON d.doc_id % {len(C.OPENINGS)} = g.k"""
+
+ORACLE["compared_answers"] = sql(
+    *HITS,
+    _PROMPTS,
+    "three AS (SELECT question_id, doc_id, max(text) FILTER (WHERE strategy = 'fixed') AS f, max(text) FILTER (WHERE strategy = 'paragraph') AS p, max(text) FILTER (WHERE strategy = 'section') AS s FROM answers GROUP BY ALL HAVING count(*) FILTER (WHERE coalesce(text, '') <> '') = 3)",
+    "SELECT question_id, doc_id, f = p AND p = s AS agree, CASE WHEN f = p AND p = s THEN 'equal' ELSE 'different' END AS summary, left(f, 20) AS quoted_fixed, left(p, 20) AS quoted_paragraph, left(s, 20) AS quoted_section, 200 AS status FROM three",
+)

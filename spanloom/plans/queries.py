@@ -424,6 +424,13 @@ def comparable_answers(spark, d):
     return generation.comparable(generation.answers(_prompts(spark, d)))
 
 
+@query
+def compared_answers(spark, d):
+    """Answers of all strategies compared by a model's call; quotes that no answer has are gone."""
+    rows = generation.comparisons(generation.answers(_prompts(spark, d)))
+    return rows.select("question_id", "doc_id", "agree", "summary", *(joined(f"quotes.{s}").alias(f"quoted_{s}") for s in P.STRATEGIES), "status")
+
+
 @query
 def quote_filter(spark, d):
     rows = C.plain(spark, d).select("doc_id", "text", F.array(F.substring("text", 3, 20), F.lit("invented quote"), F.lit("")).alias("quotes"))

@@ -128,3 +128,56 @@ def test_stream(spark, tmp_path):
     q = ingest.write_chunks(ingest.documents(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"), str(tmp_path / "cp"), size=100, overlap=10)
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("strategy").distinct().count() == 3
+
+
+def test_comparisons_tell_failures_in_their_rows(spark):
+    import json
+
+    from spanloom.operators import generation
+
+    rows = [(k, 1, s, f"{s} says {k}", f"q{k}") for k in range(6) for s in ("fixed", "paragraph", "section")]
+    given = spark.createDataFrame([*rows, (9, 1, "fixed", "alone", "q9")], "question_id long, doc_id long, strategy string, text string, question string")
+
+    def model(question, answers):
+        if question == "q1":
+            return {"refused": True}
+        if question == "q2":
+            return {"truncated": True, "text": "{"}
+        if question == "q3":
+            raise ConnectionError("no line")
+        if question == "q4":
+            return {"text": "not JSON"}
+        if question == "q5":
+            raise generation.ModelError("no key", 401)
+        return {"text": json.dumps({"agree": False, "summary": "s", "differences": [{"point": "p", "fixed": "a", "paragraph": "b", "section": "c"}], "quotes": {"fixed": ["says 0", "made up", ""], "paragraph": [], "section": ["section"]}})}
+
+    got = {r.question_id: r for r in generation.comparisons(given, model).collect()}
+    assert {k: r.status for k, r in got.items()} == {0: 200, 1: 502, 2: 502, 3: 503, 4: 502, 5: 401}
+    assert got[0].error is None and got[0].quotes.fixed == ["says 0"] and got[0].differences[0].point == "p"
+    assert all(got[k].error for k in range(1, 6)) and got[5].error == "no key"
+    assert generation.status("json", ("SURELY_UNSET_KEY",), "m") == {"installed": True, "has_key": False, "model": "m"}
+
+
+def test_model_embedder(spark):
+    from spanloom.operators.embedding import ModelEmbedder
+
+    own = ModelEmbedder("sizes", lambda: lambda texts: [[len(t), 1] for t in texts])
+    rows = own.embed(spark.createDataFrame([("ab",), ("",)], "text string")).withColumn("n", own.tokens(F.col("text"))).collect()
+    assert [(r.vector, r.n) for r in rows] == [([2.0, 1.0], 1), ([0.0, 1.0], 0)]
+
+
+def test_cache_keeps_what_was_used_last(spark):
+    from spanloom.operators import embedding
+
+    frame = lambda rows: spark.createDataFrame(rows, "model string, text string, seq long")
+    got = embedding.refresh_cache(frame([("m", "a", 1), ("m", "b", 2), ("m", "c", 3)]), frame([("m", "a", 4), ("n", "a", 5)]), 3).collect()
+    assert [(r.model, r.text, r.seq) for r in got] == [("n", "a", 5), ("m", "a", 4), ("m", "c", 3)]
+
+
+def test_a_paper_without_pages_has_an_error(spark):
+    from spanloom.sources import documents
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"one")), ("b.pdf", bytearray(b"two")), ("c.txt", bytearray(b"three"))], "name string, content binary")
+    pages = lambda pdfs: pdfs.where("content = X'6F6E65'").select("name", F.lit(1).alias("page_no"), F.lit("Some text.").alias("text"))
+    got = {r.name: (r.text, r.error) for r in documents.load(files, pages).collect()}
+    assert got == {"a.pdf": ("Some text.\n", None), "b.pdf": (None, "no text in this file"), "c.txt": ("three\n", None)}
