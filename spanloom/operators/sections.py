@@ -69,7 +69,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     # only headings' facts, as numbers, go to Python
     seen = F.when(F.size("found") > 0, let(F.struct(bare.alias("lines"), filled.alias("filled"), F.col("found").alias("found")), lambda x: facts(x["lines"], x["filled"], x["found"])))
     # a condition that always holds, but that the optimizer can't move: lambdas this deep aren't found again in a Python function's argument
-    here = F.rand(0) >= 0
+    here = F.rand(0) != 2
     out = out.withColumn("told", F.when(here, F.coalesce(seen, F.array().cast("array<int>")))).withColumn("stay", stay(F.col("told"))).drop("told")
     out = out.withColumn("found", F.filter("found", lambda h: F.array_contains("stay", h["line"])))
     return out.withColumn("placed", nested(F.col("lines"), F.col("found"))).drop("stay", "found")
