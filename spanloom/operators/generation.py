@@ -73,7 +73,7 @@ def checked(compared: DataFrame) -> DataFrame:
     """Comparisons (fixed, paragraph, section: answers; json) with structure, and only real quotes."""
     out = compared.withColumn("c", parse_comparison(F.col("json")))
     quotes = F.struct(*(real_quotes(F.col(f"c.quotes.{s}"), F.col(s)).alias(s) for s in P.STRATEGIES))
-    return out.select(*BY, "c.agree", "c.summary", "c.differences", quotes.alias("quotes"), F.when(F.col("c").isNull(), "not a comparison").alias("error"))
+    return out.select(*BY, "c.agree", "c.summary", "c.differences", quotes.alias("quotes"), F.when(F.col("c.agree").isNull() | F.col("c.quotes").isNull(), "not a comparison").alias("error"))
 
 
 class ModelError(Exception):
