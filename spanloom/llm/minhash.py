@@ -15,9 +15,9 @@ sizes that allow it, in the first band that they share:
 
 - in a bucket of at most SMALL members, pairs that pass the Bayesian test go on;
 - a larger one is dealt into blocks of about BLOCK members. Members outside the
-  bucket's largest component are held against each block: by the Bayesian test, then
-  by full sets of 64-bit shingle hashes. What is linked in a block joins there, so a
-  block gives no more links than it holds components.
+  bucket's largest component are held against each block, in parts of as many: by the
+  Bayesian test, then by full sets of 64-bit shingle hashes. What is linked in a tile (a
+  block and a part) joins there, so a tile gives no more links than it holds components.
 
 Every link is confirmed on the texts' own words: words with equal hashes are compared
 byte by byte, and shingles with equal hashes word by word. So every pair that shares a
@@ -28,7 +28,7 @@ chance of (1 - 0.85**5)**24 = 8e-7; at 0.80, with a chance of 7e-5. Set sizes ar
 counts of distinct 64-bit hashes.
 
 Work on a large bucket grows with its members times those outside its largest
-component. Memory is bounded by a block's sets and one batch of rows; one row's text
+component. Tasks and memory are bounded by a tile's rows; one row's text
 needs some 60 times its bytes while it is hashed.
 
 Nulls: a null or empty text has an empty set and is linked with nothing; fewer
@@ -329,7 +329,7 @@ def _small(percent: int):
 
 
 def _blocks(percent: int, joining: bool = True):
-    """Links between the members of each (key, block), which come first, and the rows that are held against them.
+    """Links between the members of each (key, block, part), which come first, and the rows that are held against them.
 
     What is linked joins, unless told not to: a row gives one link with each component.
     """
@@ -361,11 +361,11 @@ def _blocks(percent: int, joining: bool = True):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, block, probe = (np.asarray(b.column(b.schema.get_field_index(c)).cast(pa.int64())) for c in ("key", "block", "probe"))
+            *tile, probe = (np.asarray(b.column(b.schema.get_field_index(c)).cast(pa.int64())) for c in ("key", "block", "part", "probe"))
             found = []
-            for lo, hi in _runs_of([key, block, probe]):
+            for lo, hi in _runs_of([*tile, probe]):
                 part = b.slice(lo, hi - lo)
-                if (here := (int(key[lo]), int(block[lo]))) != at:
+                if (here := tuple(int(c[lo]) for c in tile)) != at:
                     at, parts, base = here, [], None
                 if not probe[lo]:
                     parts.append(part)
@@ -430,13 +430,16 @@ def _link(documents: DataFrame, percent: int) -> DataFrame:
     small = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_small(percent), "a long, b long")
 
     wide = dealt.where(F.col("n") > SMALL)
-    blocks = kept(wide.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "blocks")
+    most = lambda c: F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    blocks = kept(wide.groupBy("key").agg(most(F.lit(True)).alias("blocks"), most(F.col("label") != F.col("largest")).alias("groups")), "blocks")
     wide = wide.join(blocks, "key")
-    base = wide.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("probe", F.lit(0))
-    probes = wide.where("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("probe", F.lit(1))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    base = wide.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("part", each("groups")).withColumn("probe", F.lit(0))
+    probes = wide.where("label <> largest").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "groups")).withColumn("block", each("blocks")).withColumn("probe", F.lit(1))
     sets = texts.join(wide.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary")
-    rows = base.unionByName(probes).select("key", "block", "probe", "id", "label", "largest").join(reps, "id").join(sets, "id")
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "id").select("key", "block", "probe", "id", "label", "largest", "n_shingles", "sig", "shingles")
+    rows = base.unionByName(probes).select("key", "block", "part", "probe", "id", "label", "largest").join(reps, "id").join(sets, "id")
+    tile = ("key", "block", "part")
+    rows = rows.repartition(*tile).sortWithinPartitions(*tile, "probe", "id").select(*tile, "probe", "id", "label", "largest", "n_shingles", "sig", "shingles")
     joint = kept(rows.mapInArrow(_blocks(percent), "a long, b long").distinct(), "tested")
     tested = kept(small, "tested")
     rest = kept(exact(tested.union(joint)), "links")
