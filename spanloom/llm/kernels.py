@@ -163,16 +163,27 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, side="right") - 1
 
 
+#: Words of more bytes are hashed by all their parts at once, shorter ones by one part after the other.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of each word: eight bytes at a time are mixed into what is before them, so no pattern of letters cancels out."""
+    """A hash of each word: parts of eight bytes are mixed with what is before them, or with their place, so no pattern of letters cancels out."""
     size, source = end - start, eights(data)
     h = mix(size.astype(np.uint64) * _ODD + U64(seed))
-    live, k = np.arange(len(start)), 0
+    live, k = np.flatnonzero(size <= LONG_WORD), 0
     while len(live):
         rest = size[live] - k
         h[live] = mix(h[live] ^ (source[start[live] + k] & _lowest(rest))) * _ODD + U64(k + 1)
         k += 8
         live = live[rest > 8]
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        parts = (size[long] + 7) // 8
+        at = 8 * spread(np.zeros(len(long), np.int64), parts)
+        value = source[np.repeat(start[long], parts) + at] & _lowest(np.repeat(size[long], parts) - at)
+        mixed = mix(value ^ mix(at.astype(np.uint64) * _ODD + U64(seed + 1)))
+        h[long] = mix(h[long] + np.add.reduceat(mixed, np.cumsum(parts) - parts))
     return h
 
 
