@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
-from ..functions.headings import candidates, stay
+from ..functions.headings import candidates, marked, stay
 from ..functions.prune import facts
 from ..functions.text import blank, let
 
@@ -30,12 +30,13 @@ def _numbered(line: Column, title: Column) -> Column:
     return title.rlike(P.NUMBERED) & ~F.ltrim(line).startswith("#")
 
 
-def nested(lines: Column, found: Column) -> Column:
+def nested(lines: Column, found: Column, alone: bool = False) -> Column:
     """Headings with their paths.
 
     A guess goes just below the last explicit heading, or below the heading that
     only blank lines part it from. A heading keeps those of smaller level above
-    it; a numbered one, those up to the deepest numbered one of smaller level.
+    it; a numbered one, those up to the deepest numbered one of smaller level, or
+    none if numbered ones stand `alone`.
     """
     shape = f"struct<stack:array<{_ENTRY}>,explicit:int,before:int,out:array<{_PLACED}>>"
     start = F.struct(F.array().cast(f"array<{_ENTRY}>").alias("stack"), F.lit(0).alias("explicit"), F.lit(-1).alias("before"), F.array().cast(f"array<{_PLACED}>").alias("out")).cast(shape)
@@ -51,7 +52,8 @@ def nested(lines: Column, found: Column) -> Column:
     def placed(z: Column, h: Column, v: Column) -> Column:
         smaller = F.filter(z["stack"], lambda x: x["level"] < v["level"])
         deepest = F.array_max(F.transform(F.filter(smaller, lambda x: x["numbered"]), lambda x: x["level"]))
-        above = F.when(v["number"], F.filter(z["stack"], lambda x: x["level"] <= F.coalesce(deepest, F.lit(-1)))).otherwise(smaller)
+        numbered = F.array().cast(f"array<{_ENTRY}>") if alone else F.filter(z["stack"], lambda x: x["level"] <= F.coalesce(deepest, F.lit(-1)))
+        above = F.when(v["number"], numbered).otherwise(smaller)
         stack = F.array_append(above, F.struct(v["level"].alias("level"), h["title"].alias("title"), v["number"].alias("numbered")).cast(_ENTRY))
         entry = lambda k: F.struct(h["line"].alias("line"), v["level"].alias("level"), F.transform(k, lambda x: x["title"]).alias("path"), h["skips"].alias("skips")).cast(_PLACED)
         explicit = F.when(h["level"] > 0, h["level"]).otherwise(z["explicit"])
@@ -60,11 +62,20 @@ def nested(lines: Column, found: Column) -> Column:
     return F.aggregate(found, start, step, lambda z: z["out"])
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Documents with `lines`, and with `placed`: the headings that stay, in their tree."""
+def lines_of(docs: DataFrame, marks: bool = False) -> DataFrame:
+    """Documents with `lines`, and with `placed`: the headings that stay, in their tree.
+
+    With `marks`, headings are those that their own line marks, none is guessed or taken
+    for a table's row, and a numbered one has none above it.
+    """
     out = docs.withColumn("lines", raw_lines(F.col("text")))
-    out = out.withColumn("found", candidates(F.transform("lines", lambda x: x["text"])))
     bare = F.transform("lines", lambda x: F.regexp_replace(x["text"], r"[\r\n]+\z", ""))
+    if marks:
+        # the condition always holds, but keeps the optimizer from working lines out again for each heading
+        once = lambda c: F.when(F.rand(0) != 2, c)
+        out = out.withColumn("lines", once(F.col("lines"))).withColumn("found", once(marked(bare)))
+        return out.withColumn("placed", once(nested(F.col("lines"), F.col("found"), alone=True))).drop("found")
+    out = out.withColumn("found", candidates(F.transform("lines", lambda x: x["text"])))
     filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~blank(F.get("lines", i)["text"]))
     # only headings' facts, as numbers, go to Python
     seen = F.when(F.size("found") > 0, let(F.struct(bare.alias("lines"), filled.alias("filled"), F.col("found").alias("found")), lambda x: facts(x["lines"], x["filled"], x["found"])))
