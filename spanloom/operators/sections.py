@@ -86,9 +86,9 @@ def lines_of(docs: DataFrame, marks: bool = False) -> DataFrame:
     return out.withColumn("placed", nested(F.col("lines"), F.col("found"))).drop("stay", "found")
 
 
-def with_sections(docs: DataFrame) -> DataFrame:
+def with_sections(docs: DataFrame, marks: bool = False) -> DataFrame:
     """Documents with `sections`: those with a header or a body."""
-    return lines_of(docs).withColumn("sections", _sections(F.col("text"), F.col("lines"), F.col("placed"))).drop("lines", "placed")
+    return lines_of(docs, marks).withColumn("sections", _sections(F.col("text"), F.col("lines"), F.col("placed"))).drop("lines", "placed")
 
 
 def _sections(text: Column, lines: Column, placed: Column) -> Column:
@@ -114,9 +114,9 @@ def _sections(text: Column, lines: Column, placed: Column) -> Column:
     return F.filter(every, lambda s: s["header"].isNotNull() | (F.size(s["body"]) > 0))
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def sections(docs: DataFrame, marks: bool = False) -> DataFrame:
     """doc_id, section_no, path, header_start, header_end, body."""
-    out = with_sections(docs).select("doc_id", F.posexplode("sections").alias("section_no", "s"))
+    out = with_sections(docs, marks).select("doc_id", F.posexplode("sections").alias("section_no", "s"))
     return out.select("doc_id", "section_no", F.col("s.path").alias("path"), F.col("s.header.start").alias("header_start"), F.col("s.header.end").alias("header_end"), F.col("s.body").alias("body"))
 
 
