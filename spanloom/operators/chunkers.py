@@ -39,8 +39,8 @@ def paragraph(docs: DataFrame, max_chars: int = P.MAX_CHARS) -> DataFrame:
     return _rows(docs, "paragraph", S.split_long(text, S.paragraphs(text), F.lit(max_chars)))
 
 
-def section(docs: DataFrame, max_chars: int = P.MAX_CHARS) -> DataFrame:
-    """Sections' bodies packed up to a budget; every chunk's text begins with the section's path."""
+def section(docs: DataFrame, max_chars: int = P.MAX_CHARS, marks: bool = False) -> DataFrame:
+    """Sections' bodies packed up to a budget; every chunk's text begins with the section's path. `marks`: as in sections.lines_of."""
     text = F.col("text")
 
     def chunks(sec: Column) -> Column:
@@ -53,7 +53,7 @@ def section(docs: DataFrame, max_chars: int = P.MAX_CHARS) -> DataFrame:
         begin = F.when(sec["header"].isNotNull() & (g["start"] == v["first"]), sec["header"]["start"]).otherwise(g["start"])
         return F.struct(begin.alias("start"), g["end"].alias("end"), F.concat(v["prefix"], S.cut(text, g)).alias("chunk"), sec["path"].alias("headers"))
 
-    rows = with_sections(docs).select("doc_id", F.posexplode(F.flatten(F.transform("sections", chunks))).alias("chunk_index", "c"))
+    rows = with_sections(docs, marks).select("doc_id", F.posexplode(F.flatten(F.transform("sections", chunks))).alias("chunk_index", "c"))
     return rows.select("doc_id", F.lit("section").alias("strategy"), "chunk_index", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.chunk").alias("text"), F.col("c.headers").alias("headers"))
 
 
