@@ -57,6 +57,6 @@ def section(docs: DataFrame, max_chars: int = P.MAX_CHARS, marks: bool = False)
     return rows.select("doc_id", F.lit("section").alias("strategy"), "chunk_index", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.chunk").alias("text"), F.col("c.headers").alias("headers"))
 
 
-def every(docs: DataFrame, size: int = P.SIZE, overlap: int = P.OVERLAP, max_chars: int = P.MAX_CHARS) -> DataFrame:
+def every(docs: DataFrame, size: int = P.SIZE, overlap: int = P.OVERLAP, max_chars: int = P.MAX_CHARS, marks: bool = False) -> DataFrame:
     """The chunks of all strategies."""
-    return fixed(docs, size, overlap).unionByName(paragraph(docs, max_chars)).unionByName(section(docs, max_chars))
+    return fixed(docs, size, overlap).unionByName(paragraph(docs, max_chars)).unionByName(section(docs, max_chars, marks))
