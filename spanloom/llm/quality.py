@@ -2,8 +2,10 @@
 
 Labelled rows give preference pairs: a good document beats a bad one. Weights
 minimise the logistic loss on feature differences, so the learned score ranks;
-a quantile of the training scores (the share of bad rows among all labelled training
-rows) then gives the threshold, and score - threshold passes through the logistic function.
+a quantile of the training scores (the share of bad rows among them) then gives the
+threshold, and score - threshold passes through the logistic function. All labelled
+training rows teach: features, pairs and scores stay spread over tasks, and only sums
+over a task's rows go to the driver.
 
 Features come from the text alone: shape of the bytes, repetition, word lengths.
 
@@ -22,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import shared
 
 FEATURES = 24
-#: At most so many labelled rows of each label are learned from: those with the smallest hashes.
-SAMPLE_EACH = 4000
 #: Each row of one label meets so many of the other, by rotation.
 RIVALS = 8
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
@@ -80,6 +81,23 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slopes(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over pairs with differences `d`: the gradient, then the Hessian's rows."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the worse one wins
+    return np.vstack([d.T @ p, (d * (p * (1 - p))[:, None]).T @ d])
+
+
+def _newton(slopes, n: int, size: int, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
+    w = np.zeros(size)
+    for _ in range(steps):
+        sums = slopes(w) / n
+        step = np.linalg.solve(sums[1:] + ridge * np.eye(size), sums[0] - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def bradley_terry(good: np.ndarray, bad: np.ndarray, share: float | None = None, ridge: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights by Newton's method over pairs (good, bad), and the threshold between the two.
 
@@ -90,15 +108,7 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, share: float | None = None,
     n = max(len(good), len(bad)) * RIVALS
     i = np.arange(n)
     d = good[i % len(good)] - bad[(i + i // max(len(good), len(bad))) % len(bad)]
-    w = np.zeros(d.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the worse one wins
-        gradient = d.T @ p / n - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
+    w = _newton(lambda w: _slopes(d, w), n, d.shape[1], ridge, steps)
     return w, threshold(good @ w, bad @ w, len(bad) / (len(good) + len(bad)) if share is None else share)
 
 
@@ -127,26 +137,116 @@ def in_training(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def _summed(frame: DataFrame, of) -> list[np.ndarray]:
+    """For each task with rows, the sum of `of(batch)` over its batches."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                total = of(b) if total is None else total + of(b)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return [np.frombuffer(r["sums"]) for r in frame.mapInArrow(run, "sums binary").collect()]
+
+
+def _numbered(frame: DataFrame, *order: str) -> DataFrame:
+    """The rows, written to the shared folder, with `n`: their number in this order, from 0. No task has more than a range of them."""
+    spark = frame.sparkSession
+    rows = shared.kept(frame.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    counts = sorted((r["part"], r["count"]) for r in rows.groupBy(F.shiftright("at", 33).alias("part")).count().collect())
+    offsets, before = [], 0
+    for part, count in counts:
+        offsets.append((part, before - (part << 33)))
+        before += count
+    out = rows.join(F.broadcast(spark.createDataFrame(offsets, "part long, shift long")), F.shiftright("at", 33) == F.col("part")).withColumn("n", F.col("at") + F.col("shift")).drop("at", "part", "shift")
+    out._kept_in = rows._kept_in
+    return out
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> dict:
-    """Learn from a bounded sample of labelled training rows: at most SAMPLE_EACH of each label."""
+    """Learn from all labelled training rows. Texts stay where they are: features of all rows that may teach meet the labels."""
     own = K.with_columns(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where("doc_id is not null and quality in (0, 1)").where(in_training(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
-    chosen, total = None, dict.fromkeys((0, 1), 0) | {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
-    for q in (1, 0):
-        part = own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH)
-        chosen = part if chosen is None else chosen.unionByName(part)
     docs = K.with_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the sample has at most 2 * SAMPLE_EACH rows of two numbers, so it may be broadcast
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_featured("doc_id", "quality"), "doc_id long, quality int, x array<double>").toArrow()
-    x, y, ids = np.array(rows["x"].to_pylist(), float).reshape(-1, FEATURES), np.asarray(rows["quality"]), np.asarray(rows["doc_id"])
-    order = np.argsort(ids, kind="stable")
-    x, y = x[order], y[order]
-    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    docs = docs.where("doc_id is not null").where(in_training(F.col("doc_id")))
+    # written first, as sorting looks at rows twice
+    found = shared.kept(docs.mapInArrow(_featured("doc_id"), "doc_id long, x array<double>").join(own, "doc_id"), "features")
+    rows = _numbered(found, "quality", "doc_id", "x")
+    try:
+        return _fit(rows)
+    finally:
+        shared.drop(rows, found)
+
+
+def _fit(rows: DataFrame) -> dict:
+    """Rows are (quality, x, n), bad ones first."""
+
+    def sums(b) -> np.ndarray:
+        x = _matrix(b.column(1))
+        return np.concatenate([[len(x), np.asarray(b.column(0)).sum()], x.sum(0)])
+
+    total = sum(_summed(rows.select("quality", "x"), sums), np.zeros(2 + FEATURES))
+    count, n_good = int(total[0]), int(total[1])
+    n_bad = count - n_good
+    if not count:
+        return {"mean": np.zeros(FEATURES), "scale": np.ones(FEATURES), "weights": np.zeros(FEATURES), "threshold": 0.0}
+    mean = total[2:] / count
+    scale = np.sqrt(sum(_summed(rows.select("x"), lambda b: ((_matrix(b.column(0)) - mean) ** 2).sum(0))) / count)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.clip((x - mean) / scale, -8, 8)
-    w, least = bradley_terry(z[y == 1], z[y == 0], total[0] / max(1, total[0] + total[1]))
-    return {"mean": mean, "scale": scale, "weights": w, "threshold": least}
+    model = {"mean": mean, "scale": scale, "weights": np.zeros(FEATURES), "threshold": 0.0}
+    if not n_good or not n_bad:
+        return model
+    pairs = shared.kept(_pairs(rows, n_good, n_bad, mean, scale), "pairs")
+    unpacked = lambda b: np.frombuffer(b"".join(b.column(0).to_pylist())).reshape(-1, FEATURES)
+    slopes = lambda w: sum(_summed(pairs, lambda b: _slopes(unpacked(b), w).ravel())).reshape(-1, FEATURES)
+    try:
+        model["weights"] = w = _newton(slopes, max(n_good, n_bad) * RIVALS, FEATURES)
+    finally:
+        shared.drop(pairs)
+
+    def scored(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip((_matrix(b.column(0)) - mean) / scale, -8, 8) @ w)], ["score"])
+
+    ranked = _numbered(rows.select("x").mapInArrow(scored, "score double"), "score")
+    try:
+        # as threshold() has it: half way between the last score that the bad rows' share takes in, and the next
+        model["threshold"] = float(np.mean([r["score"] for r in ranked.where(F.col("n").isin(n_bad - 1, n_bad)).collect()]))
+    finally:
+        shared.drop(ranked)
+    return model
+
+
+#: A label with at most so many rows is sent to all tasks, so that few rows with many rivals each don't end in few tasks.
+FEW = 8192
+
+
+def _pairs(rows: DataFrame, n_good: int, n_bad: int, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """Differences of the pairs that bradley_terry() has, packed: each row of the larger label meets RIVALS of the other."""
+    most, rounds = max(n_good, n_bad), F.explode(F.sequence(F.lit(0), F.lit(RIVALS - 1)))
+    good, bad = rows.where("quality = 1").select((F.col("n") - n_bad).alias("n"), F.col("x").alias("good")), rows.where("quality = 0").select("n", F.col("x").alias("bad"))
+    if n_good >= n_bad:
+        many, few, rival = good, bad, F.pmod(F.col("round") * (most + 1) + F.col("n"), F.lit(n_bad))
+    else:
+        many, few, rival = bad, good, F.pmod(F.col("round") * most + F.pmod(F.col("n") - F.col("round"), F.lit(most)), F.lit(n_good))
+    many = many.withColumn("round", rounds).withColumn("rival", rival.cast("long")).drop("n")
+    few = few.withColumnRenamed("n", "rival")
+    both = many.join(F.broadcast(few) if min(n_good, n_bad) <= FEW else few, "rival").select("good", "bad")
+    z = lambda x: np.clip((x - mean) / scale, -8, 8)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([(z(_matrix(b.column(0))) - z(_matrix(b.column(1)))).tobytes()], pa.binary())], ["d"])
+
+    return both.mapInArrow(run, "d binary")
 
 
 def scores(data: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:

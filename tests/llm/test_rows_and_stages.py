@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_documents import removed, sets
 
@@ -210,6 +211,25 @@ def test_threshold_and_labels(spark):
     assert all(np.allclose(want[k], got[k]) for k in want)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.7])
+def test_quality_learns_from_all_labelled_rows(spark, share):
+    from spanloom.llm import kernels, quality
+
+    rng = random.Random(31)
+    # more rows of each label than were once learned from
+    rows = [(i, " ".join(rng.choice(["dry", "Wood", "BUY", "now!", "x1", "stove."]) for _ in range(rng.randint(1, 9)))) for i in range(33_000)]
+    labels = [(i, int(rng.random() > share)) for i in range(33_000)]
+    got = quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), spark.createDataFrame(labels, "doc_id long, quality int"))
+    taught = [i for i in range(33_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = quality.features(*kernels.text_bytes(pa.array([rows[i][1] for i in taught])))
+    y = np.array([labels[i][1] for i in taught])
+    assert min((y == 1).sum(), (y == 0).sum()) > 4000
+    assert np.allclose(got["mean"], x.mean(0)) and np.allclose(got["scale"], np.where(x.std(0) > 1e-9, x.std(0), 1))
+    z = np.clip((x - got["mean"]) / got["scale"], -8, 8)
+    w, least = quality.bradley_terry(z[y == 1], z[y == 0])
+    assert np.allclose(got["weights"], w, atol=1e-6) and np.isclose(got["threshold"], least, atol=1e-6)
+
+
 def test_bradley_terry_against_gradient_descent():
     from spanloom.llm import quality
 
